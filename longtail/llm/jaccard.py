@@ -165,18 +165,25 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array([len(g) for g in got], pa.int64()), pa.array([g.view(np.int64) for g in got], pa.list_(pa.int64()))], names=["fp", "n", "set"])
 
 
+def lists(column: pa.ListArray) -> list[np.ndarray]:
+    """The rows of a list column; null is empty."""
+    flat, at = column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).tolist()
+    return [flat[a:b] for a, b in zip(at, at[1:])]
+
+
 def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The extended prefix of each set, rarest shingles first, and the list entries that a scan of its plain prefix reads."""
     for batch in batches:
         fps, ns, orders, scans = [], [], [], []
-        for fp, n, whole, common in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            rest = sorted((c["df"], c["h"]) for c in common or [])
-            rare = np.setdiff1d(np.array(whole, np.int64), np.array([h for _, h in rest], np.int64), assume_unique=True)
+        columns = [batch.column(i).to_pylist() for i in range(2)] + [lists(batch.column(i)) for i in range(2, 5)]
+        for fp, n, whole, df, h in zip(*columns):
+            by = np.lexsort((h, df))
+            rare = np.sort(np.setdiff1d(whole, h, assume_unique=True))
             k = prefix(n)
             fps.append(fp)
             ns.append(n)
-            orders.append([*np.sort(rare)[: prefix(n, 2)].tolist(), *(h for _, h in rest)][: prefix(n, 2)])
-            scans.append(min(k, len(rare)) + sum(d for d, _ in rest[: max(0, k - len(rare))]))
+            orders.append(np.concatenate([rare, h[by]])[: prefix(n, 2)])
+            scans.append(min(k, len(rare)) + int(df[by][: max(0, k - len(rare))].sum()))
         yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(ns, pa.int64()), pa.array(orders, pa.list_(pa.int64())), pa.array(scans, pa.int64())], names=["fp", "n", "ranked", "scan"])
 
 
@@ -215,8 +222,8 @@ def _signatures(boundary: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
-            for fp, n, ranked in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                s = of(n, np.array(ranked, np.int64).view(np.uint64))
+            for fp, n, ranked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), lists(batch.column(2))):
+                s = of(n, ranked.view(np.uint64))
                 a.append(np.full(len(s), fp, np.int64))
                 b.append(s.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(b) if b else [], pa.int64()), pa.array(np.concatenate(a) if a else [], pa.int64())], names=["sig", "fp"])
@@ -348,8 +355,8 @@ def _links(sets: DataFrame, scratch: Scratch, group: int) -> DataFrame:
     """Links (a, b) between classes, enough of them to connect all true components; every class of `sets` may appear."""
     shingle = sets.select("fp", F.explode("set").alias("h"))
     df = shingle.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    common = shingle.join(df, "h").groupBy("fp").agg(F.collect_list(F.struct("df", "h")).alias("common"))
-    whole = sets.join(common, "fp", "left").select("fp", "n", "set", "common")
+    common = shingle.join(df, "h").groupBy("fp").agg(F.collect_list(F.struct("df", "h")).alias("common")).select("fp", F.col("common.df").alias("df"), F.col("common.h").alias("h"))
+    whole = sets.join(common, "fp", "left").select("fp", "n", "set", "df", "h")
     ranked = scratch.put(whole.mapInArrow(_rank, "fp bigint, n bigint, ranked array<bigint>, scan bigint"), "ranked")
     boundary = cost_boundary([tuple(r) for r in ranked.groupBy("n").agg(F.count(F.lit(1)), F.sum("scan")).collect()])
     buckets = scratch.put(ranked.select("fp", "n", "ranked").mapInArrow(_signatures(boundary), "sig bigint, fp bigint"), "buckets")

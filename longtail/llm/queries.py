@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, packing, pii
+from . import decontaminate, jaccard, neighbours, packing, pii, rollup
 from .common import table
 
 
@@ -28,13 +28,21 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), lambda key: key % 100 == 0)
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.query(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_packing, op4_decontamination, op7_pii, op9_jaccard_join)}
+    return {f.__name__: f for f in (op3_packing, op4_decontamination, op7_pii, op8_neighbours, op9_jaccard_join, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": decontaminate.ORACLE, "op7_pii": pii.oracle(), "op9_jaccard_join": jaccard.ORACLE}
+    return {"op4_decontamination": decontaminate.ORACLE, "op7_pii": pii.oracle(), "op9_jaccard_join": jaccard.ORACLE, "op10_token_counts": rollup.ORACLE}

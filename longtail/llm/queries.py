@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, langid, neighbours, packing, pii, rollup
+from . import decontaminate, html, jaccard, langid, neighbours, packing, pii, rollup
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_packing, op4_decontamination, op5_language, op7_pii, op8_neighbours, op9_jaccard_join, op10_token_counts)}
+    return {f.__name__: f for f in (op3_packing, op4_decontamination, op5_language, op6_html, op7_pii, op8_neighbours, op9_jaccard_join, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, jaccard, langid, neighbours, packing, pii, rollup
+from . import decontaminate, html, jaccard, langid, lm, neighbours, packing, pii, rollup, toxicity
 from .common import table
 
 
@@ -16,6 +16,14 @@ def _tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.digest(table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), *_tokenizer(), with_ids=False)
 
@@ -49,7 +57,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_packing, op4_decontamination, op5_language, op6_html, op7_pii, op8_neighbours, op9_jaccard_join, op10_token_counts)}
+    return {f.__name__: f for f in (op1_lm_score, op2_toxicity, op3_packing, op4_decontamination, op5_language, op6_html, op7_pii, op8_neighbours, op9_jaccard_join, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -10,7 +10,7 @@ from . import decontaminate, html, jaccard, langid, lm, neighbours, packing, pii
 from .common import table
 
 
-def _tokenizer() -> tuple[str, str]:
+def tokenizer() -> tuple[str, str]:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -25,7 +25,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), *_tokenizer(), with_ids=False)
+    return packing.pack(table(spark, sf_dir, "documents"), *tokenizer(), with_ids=False)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 import builtins
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +67,17 @@ def once(key: str, make: Callable):
     return kept[key]
 
 
+def slices(column: pa.Array, most: int) -> Iterator[tuple[int, list]]:
+    """A string or binary column as (first row, values) of about `most` bytes each, so that a batch is never held twice."""
+    size = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    first, held = 0, 0
+    for i, n in enumerate(size.tolist()):
+        held += n
+        if held >= most or i + 1 == len(size):
+            yield first, column.slice(first, i + 1 - first).to_pylist()
+            first, held = i + 1, 0
+
+
 def word_bytes(text: str | bytes | None) -> list[bytes]:
     """Words `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z, as UTF-8."""
     if text is None:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small, word_bytes
+from .common import Scratch, slices, small, word_bytes
 from .components import components
 
 WORDS = 5
@@ -45,7 +45,7 @@ WORDS = 5
 NUM, DEN = 80, 100
 GROUP = 512
 SMALL_ROWS = 1_000_000
-CHUNK = 1 << 21
+CHUNK, READ_BYTES = 1 << 19, 4 << 20
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
 
 
@@ -56,7 +56,7 @@ def shingles(text: bytes | str | None, cache: dict) -> np.ndarray:
         return np.empty(0, np.uint64)
     if len(words) < WORDS:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), len(words))], np.uint64)
-    if len(cache) > 1 << 20:
+    if len(cache) > 1 << 18:
         cache.clear()
     new = set(words).difference(cache)
     cache.update(zip(new, map(xxhash.xxh64_intdigest, new)))
@@ -138,7 +138,8 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         key_type = batch.schema.field(0).type
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        names = batch.column(0).to_pylist()
+        for key, text in ((names[a + i], t) for a, texts in slices(batch.column(1), READ_BYTES) for i, t in enumerate(texts)):
             g = shingles(text, cache)
             keys.append(key)
             sizes.append(len(g))
@@ -160,7 +161,7 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache: dict = {}
     for batch in batches:
-        got = [shingles(t, cache) for t in batch.column(0).to_pylist()]
+        got = [shingles(t, cache) for _, texts in slices(batch.column(0), READ_BYTES) for t in texts]
         fps = [xxhash.xxh64_intdigest(g.tobytes()) - (1 << 63) if len(g) else None for g in got]
         yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array([len(g) for g in got], pa.int64()), pa.array([g.view(np.int64) for g in got], pa.list_(pa.int64()))], names=["fp", "n", "set"])
 

@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import slices
+
 SAMPLE = 400
 BUCKETS = 1 << 16
 SWITCH = 9.0
@@ -153,7 +155,7 @@ def label(texts: list[bytes], model: Model) -> list[tuple[str, float, list[tuple
         # texts of like length together, within a bounded number of cells
         take = 1
         longest = len(split[order[-1]])
-        while take < len(order) and (take + 1) * longest <= 1 << 20 and len(split[order[-take - 1]]) * 2 >= longest:
+        while take < len(order) and (take + 1) * longest <= 1 << 18 and len(split[order[-take - 1]]) * 2 >= longest:
             take += 1
         some, order = order[-take:], order[:-take]
         kinds: dict[bytes, int] = {}
@@ -177,7 +179,7 @@ def label(texts: list[bytes], model: Model) -> list[tuple[str, float, list[tuple
     return out
 
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", spans: bool = True) -> DataFrame:
@@ -194,13 +196,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text", spans: bool = Tru
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            texts = [t or b"" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            got, a, held = [], 0, 0
-            for i, t in enumerate(texts):
-                held += len(t)
-                if held >= BATCH_BYTES or i + 1 == len(texts):
-                    got += label(texts[a : i + 1], model)
-                    a, held = i + 1, 0
+            got = []
+            for _, texts in slices(batch.column(batch.num_columns - 1), BATCH_BYTES):
+                got += label([t or b"" for t in texts], model)
             new = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
             if spans:
                 new.append(pa.array([[{"first": x, "beyond": y, "lang": z} for x, y, z in g[2]] for g in got], pa.list_(pa.struct([("first", pa.int64()), ("beyond", pa.int64()), ("lang", pa.string())]))))

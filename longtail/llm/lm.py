@@ -34,14 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, word_bytes
+from .common import Scratch, slices, word_bytes
 
 WORDS, ENDINGS, DIM = 1024, 512, 24
-HEAD, HEAD_SHARE = 200_000, 1e-6
+HEAD, HEAD_SHARE = 100_000, 1e-6
 BATCH, NOISE, RATE = 2048, 32, 0.1
-CHUNK = 1 << 21
+CHUNK, GROUP_BYTES = 1 << 20, 1 << 20
 #: A task with fewer training tokens goes over them again, EPOCHS times at most.
-AGAIN, EPOCHS = 1 << 22, 6
+AGAIN, EPOCHS = 1 << 21, 6
 LOG10 = np.log(10.0)
 
 
@@ -200,28 +200,22 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count.clear()
         return pa.RecordBatch.from_arrays([pa.array([w for w, _ in got], pa.binary()), pa.array([n for _, n in got], pa.int64())], names=["word", "n"])
 
-    for batch in batches:
-        for t in batch.column(0).to_pylist():
-            ws = word_bytes(t)
+    for _, _, group in _groups(batches):
+        for ws in group:
             count.update(ws)
             tokens += len(ws)
-            if tokens >= CHUNK:
-                yield out()
-                tokens = 0
+        if tokens >= CHUNK:
+            yield out()
+            tokens = 0
     if count:
         yield out()
 
 
-def _groups(batches: Iterator[pa.RecordBatch], most: int):
-    """The batches' rows in lists whose texts hold about `most` bytes."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, list[list[bytes]]]]:
+    """Each batch's rows, some at a time: the batch, the first row, and the rows' words."""
     for batch in batches:
-        held, a = 0, 0
-        texts = batch.column(0).to_pylist()
-        for i, t in enumerate(texts):
-            held += len(t or b"")
-            if held >= most or i + 1 == len(texts):
-                yield batch, a, [word_bytes(x) for x in texts[a : i + 1]]
-                held, a = 0, i + 1
+        for first, texts in slices(batch.column(0), GROUP_BYTES):
+            yield batch, first, [word_bytes(t) for t in texts]
 
 
 def _train(sent):
@@ -233,7 +227,7 @@ def _train(sent):
         counts, symbols = np.zeros(len(vocab.head)), np.zeros(vocab.symbols())
         tokens = texts = 0
         kept, rng = [], np.random.default_rng(TaskContext.get().partitionId())
-        for _, _, group in _groups(batches, 4 << 20):
+        for _, _, group in _groups(batches):
             index, near, far, out = vocab.ids(group)
             counts += np.bincount(index[index >= 0], minlength=len(counts))
             symbols += np.bincount(out, minlength=len(symbols))
@@ -305,7 +299,7 @@ def _score(sent):
         is_known = np.concatenate([m.counts > 0, [m.texts > 0, False]])
         within = np.log10(1.1 * m.symbols + 0.1)
         rid = TaskContext.get().partitionId() << 33
-        for batch, a, group in _groups(batches, 8 << 20):
+        for batch, a, group in _groups(batches):
             index, near, far, out = vocab.ids(group)
             base = log_count[index]
             lp = m.log10(near, far, out)

@@ -16,7 +16,14 @@ from pyspark.sql import functions as F
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
 
+def lean(spark: SparkSession) -> None:
+    """Where the session has Spark's own rows a batch (10000), 1000: batches of whole texts are held in memory on both sides."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -39,6 +46,7 @@ class Scratch:
     """Tables written to the shared folder to cut lineage; drop() removes the ones no later step reads."""
 
     def __init__(self, spark: SparkSession):
+        lean(spark)
         self.spark, self.root, self.n = spark, shared_dir(spark), 0
 
     def put(self, df: DataFrame, name: str = "t") -> DataFrame:

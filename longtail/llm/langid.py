@@ -30,6 +30,7 @@ from .common import slices
 SAMPLE = 400
 BUCKETS = 1 << 16
 SWITCH = 9.0
+SCORED = 1 << 14
 SCRIPT_SHARE = 0.01
 UND = "und"
 #: First code point, last code point of script blocks; a word's other letters are Latin.
@@ -46,13 +47,13 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(FOLD).split()
 
 
-def grams(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the 1-, 2- and 3-grams that begin at each byte of the words, which stand between blanks, and the word of each byte."""
+def grams(flat: np.ndarray) -> np.ndarray:
+    """Buckets of the 1-, 2- and 3-grams that begin at each byte of the words, which stand between blanks."""
     b = np.concatenate([flat, [32, 32]]).astype(np.int64)
     one, two = b[:-2], b[:-2] * 256 + b[1:-1]
     three = two * 256 + b[2:]
     code = np.stack([one * 7919 + 1, two * 104729 + 2, np.where((one == 32) | (b[1:-1] == 32), one * 31 + b[1:-1] + 3, three * 1299709 + 5)])
-    return (code ^ (code >> 16)) & (BUCKETS - 1), np.searchsorted(starts, np.arange(len(flat)), "right") - 1
+    return (code ^ (code >> 16)) & (BUCKETS - 1)
 
 
 def joined(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -82,10 +83,13 @@ class Model:
 
     def score(self, ws: list[bytes]) -> np.ndarray:
         """Log-probability of each word in each language, its best language's being at 0 and none below -12."""
-        flat, starts = joined(ws)
-        code, _ = grams(flat, starts)
-        s = np.add.reduceat(self.weight[code].sum(0), starts)
-        s = np.where(self.uses[scripts(ws)], s, -1e4)
+        parts = []
+        for i in range(0, len(ws), SCORED):
+            flat, starts = joined(ws[i : i + SCORED])
+            code = grams(flat)
+            parts.append(np.add.reduceat(self.weight[code[0]] + self.weight[code[1]] + self.weight[code[2]], starts))
+        s = np.concatenate(parts)
+        s = np.where(self.uses[scripts(ws)], s, np.float32(-1e4))
         return np.maximum(s - s.max(1, keepdims=True), -12.0)
 
 
@@ -94,7 +98,7 @@ def fit(rows: Iterator[tuple[str, bytes]]) -> Model:
     used: dict[str, np.ndarray] = {}
     for lang, text in rows:
         if ws := words(text):
-            code, _ = grams(*joined(ws))
+            code = grams(joined(ws)[0])
             c = count.setdefault(lang, np.zeros(BUCKETS))
             c += np.bincount(code.ravel(), minlength=BUCKETS)
             u = used.setdefault(lang, np.zeros(len(SCRIPTS) + 1))
@@ -105,7 +109,7 @@ def fit(rows: Iterator[tuple[str, bytes]]) -> Model:
     n = np.stack([count[x] for x in langs], 1)
     uses = np.stack([used[x] / used[x].sum() >= SCRIPT_SHARE for x in langs], 1)
     uses[~uses.any(1)] = True  # of a script that no language was seen in, any language may be
-    return Model(langs, (np.log(n + 0.5) - np.log(n.sum(0) + 0.5 * BUCKETS)) / 3, uses)
+    return Model(langs, (np.log(n + 0.5) - np.log(n.sum(0) + 0.5 * BUCKETS)).astype(np.float32) / 3, uses)
 
 
 def train(docs: DataFrame, where: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> Model:
@@ -129,7 +133,7 @@ def viterbi(score: np.ndarray, lens: np.ndarray) -> np.ndarray:
     last = v.copy()
     for i in range(1, t):
         top = v.argmax(1)
-        jump = v[np.arange(n), top] - SWITCH
+        jump = v[np.arange(n), top] - np.float32(SWITCH)
         stay = v >= jump[:, None]
         back[i] = np.where(stay, np.arange(k, dtype=np.int8)[None], top[:, None].astype(np.int8))
         v = np.where(stay, v, jump[:, None]) + score[:, i]
@@ -155,7 +159,7 @@ def label(texts: list[bytes], model: Model) -> list[tuple[str, float, list[tuple
         # texts of like length together, within a bounded number of cells
         take = 1
         longest = len(split[order[-1]])
-        while take < len(order) and (take + 1) * longest <= 1 << 18 and len(split[order[-take - 1]]) * 2 >= longest:
+        while take < len(order) and (take + 1) * longest <= 1 << 19 and len(split[order[-take - 1]]) * 2 >= longest:
             take += 1
         some, order = order[-take:], order[:-take]
         kinds: dict[bytes, int] = {}
@@ -179,7 +183,7 @@ def label(texts: list[bytes], model: Model) -> list[tuple[str, float, list[tuple
     return out
 
 
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", spans: bool = True) -> DataFrame:

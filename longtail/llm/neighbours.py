@@ -208,7 +208,9 @@ def search(vectors: DataFrame, queries, k: int = 10, key: str = "vec_id", vector
 
     entries = scratch.put(classes(rows, k + 1), "entries")
     n = entries.count()
-    sample = entries.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).collect()
+    # the hash range is cut first, so that a task sends its share of the sample and no more
+    share = entries.select("vec", F.xxhash64("vec").alias("order")).where(F.pmod("order", F.lit(1_000_003)) <= min(1.0, 1.2 * SAMPLE / max(1, n)) * 1_000_003)
+    sample = share.orderBy("order", "vec").limit(SAMPLE).collect()
     x = np.frombuffer(b"".join(bytes(r[0]) for r in sample), np.float64).reshape(len(sample), -1)
     c = fit(x, max(1, min(n // PER_LIST, MAX_CENTROIDS, len(x) // 4)))
     sent = spark.sparkContext.broadcast((c, graph(c)))

@@ -261,12 +261,26 @@ class Model:
         return (a[near, out].astype(np.float64) + b[far, out] - z[near, far]) / LOG10
 
 
+def least_count(counted: DataFrame, most: int) -> int:
+    """A count that at most `most` of the words reach, from a histogram in steps of a fiftieth of a natural logarithm."""
+    steps = counted.groupBy(F.floor(F.ln("n") * 50).alias("step")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("low")).collect()
+    total, least = 0, 1 << 62
+    for r in sorted(steps, key=lambda r: -r["step"]):
+        total += r["words"]
+        if total > most:
+            break
+        least = r["low"]
+    return least
+
+
 def fit(docs: DataFrame, train: Column, text: str = "text", words: int = WORDS, head: int = HEAD) -> Model:
     """The model learnt from the rows for which `train` holds."""
     texts = docs.where(train).select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     spark = docs.sparkSession
-    top = texts.mapInArrow(_frequent, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(head)
-    frequent = [(bytes(r["word"]), r["n"]) for r in top.collect()]
+    scratch = Scratch(spark)
+    counted = scratch.put(texts.mapInArrow(_frequent, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "counted")
+    frequent = sorted(((bytes(r["word"]), r["n"]) for r in counted.where(F.col("n") >= least_count(counted, head)).collect()), key=lambda x: (-x[1], x[0]))
+    scratch.drop(counted)
     vocab, share = vocabulary(frequent, words)
     start = Bilinear.start(vocab.symbols(), share)
     sent = spark.sparkContext.broadcast((vocab, start))

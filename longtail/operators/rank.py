@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 ORDER = "support desc, size(items) asc, items asc"
 
 
-def top_k(patterns: DataFrame, k: int) -> DataFrame:
-    """(item, rank, support, items) from patterns(support, items): each is offered to every item that it holds; repeats count once."""
-    offered = patterns.select("support", "items").distinct().select(F.explode("items").alias("item"), "support", "items")
+def top_k(patterns: DataFrame, k: int, repeats: bool = True) -> DataFrame:
+    """(item, rank, support, items) from patterns(support, items): each is offered to every item that it holds; repeats, if any, count once."""
+    known = patterns.select("support", "items")
+    offered = (known.distinct() if repeats else known).select(F.explode("items").alias("item"), "support", "items")
     ranked = offered.withColumn("rank", F.expr(f"cast(row_number() over (partition by item order by {ORDER}) as int)"))
     return ranked.where(F.col("rank") <= k).select("item", "rank", "support", "items")
 

@@ -23,7 +23,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-k", type=int, required=True, help="patterns for each item")
     p.add_argument("-c", type=int, help="of these, the c most associated with the item")
     p.add_argument("-b", action="store_true", help="benchmark: mine, and drop the patterns")
-    p.add_argument("-g", type=int, default=mine.GROUPS, help="groups of starters")
+    p.add_argument("-g", type=int, help="groups of starters (64, or the shuffle partitions if more)")
     p.add_argument("-i", action="store_true", help="a line of statistics for each item")
     p.add_argument("-u", action="store_true", help="each pattern once")
     p.add_argument("-r", help="file of `ITEM K` lines: patterns to keep for these items")

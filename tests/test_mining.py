@@ -54,6 +54,17 @@ def test_topk_is_the_definition(spark, groups, prune):
     assert {r.item for r in got} == set(want)
 
 
+@pytest.mark.parametrize("cells", [1, 4, 12])
+def test_split_cores_give_the_same(spark, cells):
+    """Groups over the limit are split, down to cores of many items."""
+    want = closed_sets([(b, 1) for b in BASKETS], 2)
+    found = mine.closed_itemsets(frame(spark, BASKETS), 2, groups=2, cells=cells).collect()
+    assert {frozenset(r["items"]): r.support for r in found} == want and len(found) == len(want)
+    got = mine.topk_closed(frame(spark, BASKETS), 2, 2, groups=2, cells=cells).collect()
+    top = best(want, 2)
+    assert {i: [(r.support, list(r["items"])) for r in sorted((r for r in got if r.item == i), key=lambda r: r["rank"])] for i in top} == top
+
+
 def test_closed_and_reports(spark):
     found = mine.closed_itemsets(frame(spark, BASKETS), 2)
     want = closed_sets([(b, 1) for b in BASKETS], 2)

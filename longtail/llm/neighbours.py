@@ -2,13 +2,16 @@
 
 Centroids are fitted on a bounded sample (SAMPLE vectors) and every vector is indexed:
 in the list of its nearest centroid and, near a boundary, in those of further centroids
-up to (1 + REPLICATE) times as far, COPIES at most. Queries search the centroids with a
-best-first walk over an in-memory neighbour graph and keep the lists whose centroid is
-at most (1 + PRUNE) times as far as the nearest, LISTS at most.
+up to (1 + REPLICATE) times as far, COPIES at most. A query searches every list whose
+centroid is at most (1 + PRUNE) times as far as the nearest, and LEAST_LISTS at least; all
+centroids are ranked (there are at most 2 * MAX_CENTROIDS), and no number caps the lists.
+Where the vectors have no structure that is every list.
 
 Equal vectors are one entry with the smallest ids that any answer can need, so a vector
-that a third of all rows share costs a row a task. Lists over CAP entries are dealt into
-pieces; each piece answers by itself and the answers are merged.
+that a third of all rows share costs a row a task. Lists are dealt into bundles of about CAP
+entries, so that a query is sent once to a bundle and not once to a list; bundles over CAP are
+dealt into pieces; each piece answers by itself, for ASK_CAP queries or so at a time, and the
+answers are merged.
 
 Defined cases: null, empty and zero vectors and those with null or non-finite components take
 no part, as queries neither; nor do vectors of another than the most frequent dimension;
@@ -18,7 +21,6 @@ empty tables give empty results; other columns are ignored.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +33,9 @@ from .common import Scratch
 
 SAMPLE, PER_LIST, MAX_CENTROIDS = 20_000, 128, 4096
 REPLICATE, COPIES = 0.12, 4
-PRUNE, LISTS, LEAST_LISTS = 0.6, 96, 8
-CAP = 1024
-DEGREE = 16
+PRUNE, LEAST_LISTS = 0.6, 8
+CAP, ASK_CAP = 16_384, 65_536
+ASKED = 256
 
 
 def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -60,41 +62,6 @@ def fit(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarra
     return c
 
 
-def graph(c: np.ndarray) -> np.ndarray:
-    """The DEGREE nearest centroids of each, and as many spread ones that keep the walk from getting stuck."""
-    d = _distances(c, c)
-    near = np.argsort(d, 1, kind="stable")[:, 1 : DEGREE + 1]
-    far = np.random.default_rng(3).integers(0, len(c), (len(c), 4))
-    return np.concatenate([near, far], 1)
-
-
-def walk(q: np.ndarray, c: np.ndarray, links: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
-    """The `want` nearest centroids found best-first over the graph, nearest first, with their distances."""
-    starts = np.unique(np.linspace(0, len(c) - 1, min(len(c), 8)).astype(int))
-    d = np.sqrt(((c[starts] - q) ** 2).sum(1))
-    seen = set(starts.tolist())
-    open_ = list(zip(d.tolist(), starts.tolist()))
-    heapq.heapify(open_)
-    best = [(-x, i) for x, i in open_]
-    heapq.heapify(best)
-    while open_:
-        x, i = heapq.heappop(open_)
-        if len(best) >= want and x > -best[0][0]:
-            break
-        new = [j for j in links[i].tolist() if j not in seen]
-        if not new:
-            continue
-        seen.update(new)
-        for y, j in zip(np.sqrt(((c[new] - q) ** 2).sum(1)).tolist(), new):
-            if len(best) < want or y < -best[0][0]:
-                heapq.heappush(open_, (y, j))
-                heapq.heappush(best, (-y, j))
-                if len(best) > want:
-                    heapq.heappop(best)
-    found = sorted((-x, i) for x, i in best)
-    return np.array([i for _, i in found]), np.array([x for x, _ in found])
-
-
 def _classes(dim: int, keep: int):
     """Equal vectors of a task as one row with their smallest ids."""
 
@@ -121,38 +88,37 @@ def _classes(dim: int, keep: int):
     return run
 
 
-def _spread(sent, query: bool, lists: int, least: int):
-    """(list, vec, ids): where each vector is stored, or searched."""
+def _spread(sent, query: bool, bundles: int, least: int):
+    """(bundle, lists, vec, ids): where each vector is stored, or searched."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, links = sent.value
+        c = sent.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.float64).reshape(batch.num_rows, -1)
-            at, to = [], []
-            for i in range(0, len(x), 1024):
+            for i in range(0, len(x), 256):
+                d = _distances(x[i : i + 256], c)
                 if query:
-                    for j, q in enumerate(x[i : i + 1024]):
-                        found, d = walk(q, c, links, min(lists, len(c)))
-                        found = found[(d <= (1 + PRUNE) * d[0]) | (np.arange(len(d)) < least)]
-                        at.append(np.full(len(found), i + j))
-                        to.append(found)
+                    low = np.partition(d, min(least, d.shape[1]) - 1, 1)[:, min(least, d.shape[1]) - 1]
+                    at, to = np.nonzero(d <= np.maximum((1 + PRUNE) * d.min(1), low)[:, None])
                 else:
-                    d = _distances(x[i : i + 1024], c)
                     few = np.argpartition(d, min(COPIES, d.shape[1]) - 1, 1)[:, :COPIES]
                     dd = np.take_along_axis(d, few, 1)
-                    r, s = np.nonzero(dd <= (1 + REPLICATE) * dd.min(1, keepdims=True))
-                    at.append(r + i)
-                    to.append(few[r, s])
-            rows = pa.array(np.concatenate(at))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(to), pa.int32()), batch.column(0).take(rows), batch.column(1).take(rows)], names=["list", "vec", "ids"])
+                    at, s = np.nonzero(dd <= (1 + REPLICATE) * dd.min(1, keepdims=True))
+                    to = few[at, s]
+                by = np.lexsort((to, to % bundles, at))
+                at, to = at[by], to[by]
+                first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (to[1:] % bundles != to[:-1] % bundles)]))
+                rows = pa.array(at[first] + i)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(to)), pa.int32()), pa.array(to, pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(to[first] % bundles, pa.int32()), lists, batch.column(0).take(rows), batch.column(1).take(rows)], names=["bundle", "lists", "vec", "ids"])
 
     return run
 
 
 def _answer(keep: int):
-    """Nearest entries of one piece of a list, for each query sent to it."""
+    """Nearest entries of one piece of a bundle, for each query sent to it, among those stored in a list that it searches."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         asks = pdf["ask"].to_numpy()
@@ -162,10 +128,25 @@ def _answer(keep: int):
             c = np.frombuffer(b"".join(cs["vec"]), np.float64).reshape(len(cs), -1)
             ids = cs["ids"].tolist()
             low = np.array([i[0] for i in ids])
-            for vec, own in zip(qs["vec"], qs["ids"]):
-                d = np.sqrt(((c - np.frombuffer(vec, np.float64)) ** 2).sum(1))
-                near = np.lexsort((low, d))[:keep]
-                rows += [(int(own[0]), float(d[j]), ids[j]) for j in near]
+            at = np.repeat(np.arange(len(c)), [len(v) for v in cs["lists"]])
+            stored = np.concatenate(cs["lists"].tolist())
+            every = np.unique(stored)
+            vecs, owns, asked = qs["vec"].tolist(), qs["ids"].tolist(), qs["lists"].tolist()
+            for i in range(0, len(vecs), ASKED):
+                q = np.frombuffer(b"".join(vecs[i : i + ASKED]), np.float64).reshape(-1, c.shape[1])
+                rough = _distances(q, c)
+                # _distances loses digits by cancellation; what it leaves within this of the last place is compared exactly
+                slack = 1e-6 * np.sqrt((q * q).sum(1) + (c * c).sum(1).max())
+                for j, d in enumerate(rough):
+                    searched = np.isin(every, asked[i + j])
+                    if not searched.all():
+                        out = np.ones(len(c), bool)
+                        out[at[searched[np.searchsorted(every, stored)]]] = False
+                        d[out] = np.inf
+                    last = np.partition(d, keep - 1)[keep - 1] if len(d) > keep else np.inf
+                    some = np.flatnonzero((d <= last + slack[j]) & (d < np.inf))
+                    exact = np.sqrt(((c[some] - q[j]) ** 2).sum(1))
+                    rows += [(int(owns[i + j][0]), float(exact[n]), ids[some[n]]) for n in np.lexsort((low[some], exact))[:keep]]
         return pd.DataFrame(rows, columns=["q", "score", "ids"])
 
     return run
@@ -191,7 +172,7 @@ def valid(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return v.where((F.size("v") > 0) & ~F.exists("v", bad) & F.exists("v", lambda x: x != 0))
 
 
-def search(vectors: DataFrame, queries, k: int = 10, key: str = "vec_id", vector: str = "embedding", lists: int = LISTS, least: int = LEAST_LISTS) -> DataFrame:
+def search(vectors: DataFrame, queries, k: int = 10, key: str = "vec_id", vector: str = "embedding", least: int = LEAST_LISTS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row for which `queries(id column)` holds."""
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
@@ -213,19 +194,21 @@ def search(vectors: DataFrame, queries, k: int = 10, key: str = "vec_id", vector
     sample = share.orderBy("order", "vec").limit(SAMPLE).collect()
     x = np.frombuffer(b"".join(bytes(r[0]) for r in sample), np.float64).reshape(len(sample), -1)
     c = fit(x, max(1, min(n // PER_LIST, MAX_CENTROIDS, len(x) // 4)))
-    sent = spark.sparkContext.broadcast((c, graph(c)))
+    sent = spark.sparkContext.broadcast(c)
+    bundles = max(1, min(len(c), -(-n * COPIES // CAP)))
+    kinds = "bundle int, lists array<int>, vec binary, ids array<bigint>"
 
-    posting = entries.mapInArrow(_spread(sent, False, lists, least), "list int, vec binary, ids array<bigint>")
-    posting = scratch.put(posting, "posting")
-    pieces = posting.groupBy("list").count().select("list", F.ceil(F.col("count") / CAP).cast("int").alias("pieces"))
+    posting = scratch.put(entries.mapInArrow(_spread(sent, False, bundles, least), kinds), "posting")
+    pieces = posting.groupBy("bundle").count().select("bundle", F.ceil(F.col("count") / CAP).cast("int").alias("pieces"))
     asked = rows.where(queries(F.col("id")))
     ask = classes(asked, 1)  # a class of equal queries goes by its smallest id
     ask = scratch.put(ask, "ask")
-    routes = ask.mapInArrow(_spread(sent, True, lists, least), "list int, vec binary, ids array<bigint>")
-    # lists are few (at most 2 * MAX_CENTROIDS), so their sizes may be broadcast
-    stored = posting.join(F.broadcast(pieces), "list").select("list", F.pmod(F.xxhash64("vec"), "pieces").cast("int").alias("piece"), "vec", "ids", F.lit(False).alias("ask"))
-    sent_to = routes.join(F.broadcast(pieces), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), "vec", "ids", F.lit(True).alias("ask"))
-    near = stored.unionByName(sent_to).groupBy("list", "piece").applyInPandas(_answer(k + 1), "q bigint, score double, ids array<bigint>")
+    routes = ask.mapInArrow(_spread(sent, True, bundles, least), kinds)
+    turns = F.lit(max(1, -(-ask.count() // ASK_CAP)))
+    # bundles are no more than lists (at most 2 * MAX_CENTROIDS), so their sizes may be broadcast
+    stored = posting.join(F.broadcast(pieces), "bundle").select("bundle", F.pmod(F.xxhash64("vec"), "pieces").cast("int").alias("piece"), F.explode(F.sequence(F.lit(0), turns - 1)).alias("turn"), "lists", "vec", "ids", F.lit(False).alias("ask"))
+    sent_to = routes.join(F.broadcast(pieces), "bundle").select("bundle", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.pmod(F.xxhash64("vec"), turns).cast("int").alias("turn"), "lists", "vec", "ids", F.lit(True).alias("ask"))
+    near = stored.unionByName(sent_to).groupBy("bundle", "piece", "turn").applyInPandas(_answer(k + 1), "q bigint, score double, ids array<bigint>")
     best = near.groupBy("q").applyInPandas(_merge(k), "q bigint, score double, vec_id bigint")
 
     own = asked.mapInArrow(_keyed, "query_id bigint, vec binary").distinct().join(ask.select("vec", F.col("ids")[0].alias("q")), "vec").select("query_id", "q")

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -376,3 +377,16 @@ def test_recall_of_neighbours(spark):
         got.setdefault(r.query_id, set()).add(r.vec_id)
     hits = [len(got[q] & {int(i) for i in np.argsort(((v - v[q]) ** 2).sum(1))[1:11]}) for q in got]
     assert len(got) == 60 and np.mean(hits) >= 9
+
+
+def test_recall_of_neighbours_does_not_fall_with_the_number_of_lists(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PER_LIST", 16)
+    rng = np.random.default_rng(13)
+    v = rng.normal(size=(6000, 48))
+    v /= np.sqrt((v * v).sum(1))[:, None]  # no structure: only the lists that are searched make the recall
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(v)), "embedding": v.tolist()}), "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in neighbours.search(df, lambda i: i % 150 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = [len(got[q] & {int(i) for i in np.argsort(((v - v[q]) ** 2).sum(1))[1:11]}) for q in got]
+    assert len(got) == 40 and np.mean(hits) >= 9.9

@@ -4,7 +4,7 @@ Each stage works on all that its predecessor kept and returns the columns of `do
 the packed pieces with their ids. Between stages the rows are written to the shared folder and read again.
 
 Defined cases are those of the operators: null and empty texts are of no language and go in the first
-stage; of documents that share an id one stays; empty tables give empty results.
+stage; documents that share an id, or have none, are told apart by their texts; empty tables give empty results.
 """
 
 from __future__ import annotations

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices, small, word_bytes
+from .common import SPACE_WORD, Scratch, slices, small, word_bytes
 from .components import components
 
 WORDS = 5
@@ -95,14 +95,14 @@ def need(n: int) -> int:
     return max(1, k)
 
 
-SIGNED = "doc_id {}, n bigint, fp bigint, met bigint, offers array<bigint>, told array<bigint>"
+SIGNED = "doc_id {}, tx bigint, n bigint, fp bigint, met bigint, offers array<bigint>, told array<bigint>"
 
 
 def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each row: set size and fingerprint; of the first row of a class in this chunk: how many prefix shingles
     it shares within the chunk (met), those it offers to other chunks and those that it offers though already met (told)."""
     cache: dict = {}
-    keys, sizes, prints, rows, held = [], [], [], [], 0
+    keys, marks, sizes, prints, rows, held = [], [], [], [], [], 0
     seen: set[int] = set()
     key_type = None
 
@@ -128,20 +128,21 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     into[i] = part
         lists = pa.list_(pa.int64())
         out = pa.RecordBatch.from_arrays(
-            [pa.array(keys, key_type), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(met, pa.int64()), pa.array(offers, lists), pa.array(told, lists)],
-            names=["doc_id", "n", "fp", "met", "offers", "told"],
+            [pa.array(keys, key_type), pa.array(marks, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(met, pa.int64()), pa.array(offers, lists), pa.array(told, lists)],
+            names=["doc_id", "tx", "n", "fp", "met", "offers", "told"],
         )
-        for x in (keys, sizes, prints, rows):
+        for x in (keys, marks, sizes, prints, rows):
             x.clear()
         seen.clear()
         return out
 
     for batch in batches:
         key_type = batch.schema.field(0).type
-        names = batch.column(0).to_pylist()
-        for key, text in ((names[a + i], t) for a, texts in slices(batch.column(1), READ_BYTES) for i, t in enumerate(texts)):
+        names, hashes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+        for key, mark, text in ((names[a + i], hashes[a + i], t) for a, texts in slices(batch.column(1), READ_BYTES) for i, t in enumerate(texts)):
             g = shingles(text, cache)
             keys.append(key)
+            marks.append(mark)
             sizes.append(len(g))
             fp = xxhash.xxh64_intdigest(g.tobytes()) - (1 << 63) if len(g) else None
             prints.append(fp)
@@ -317,8 +318,19 @@ def _large(members: DataFrame, scratch: Scratch, group: int) -> DataFrame:
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:
     """(key, n_shingles, component_id): component_id is the smallest key reachable by links, its own included."""
+    signed, mapped = _joined(docs, key, text, group)
+    out = signed.select("doc_id", "n", "fp").join(mapped, "fp", "left")
+    return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _text_hash(text: str):
+    return F.xxhash64(F.col(text).cast("binary"))
+
+
+def _joined(docs: DataFrame, key: str, text: str, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
+    """Each row's (doc_id, tx: hash of its text, n, fp: its class, ...), and each class's (fp, root: its component, component_id)."""
     scratch = Scratch(docs.sparkSession)
-    texts = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    texts = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("text"), _text_hash(text).alias("tx"))
     kind = texts.schema["doc_id"].dataType.simpleString()
     signed = scratch.put(texts.mapInArrow(_screen, SIGNED.format(kind)), "signed")
 
@@ -337,9 +349,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", group: int =
 
     owners = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
     lowest = owners.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    mapped = scratch.put(owners.join(lowest, "root").select("fp", "component_id"), "mapped")
-    out = signed.select("doc_id", "n", "fp").join(mapped, "fp", "left")
-    return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return signed, scratch.put(owners.join(lowest, "root").select("fp", "root", "component_id"), "mapped")
 
 
 def meets(n: str, count):
@@ -374,12 +384,24 @@ def _links(sets: DataFrame, scratch: Scratch, group: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component: the one with the smallest key (of rows that share it, any one whose text has the component's set)."""
-    found = join(docs, key, text)
-    gone = found.where(F.col(key) != F.col("component_id")).select(key).distinct()
-    repeated = docs.groupBy(key).count().where("count > 1").limit(1).count() > 0
-    out = docs.join(small(gone, SMALL_ROWS), key, "left_anti").select(*docs.columns)
-    return out.dropDuplicates([key]) if repeated else out
+    """One row of each component, and every row whose text has no words.
+
+    Rows are told apart by their key and text. The smallest key stays, nulls being larger than any; of rows
+    that share it the one whose text has the smallest hash; of rows equal in key and text any one.
+    """
+    signed, mapped = _joined(docs, key, text)
+    rows = signed.where("fp is not null").groupBy("doc_id", "tx").agg(F.max("fp").alias("fp"), F.count(F.lit(1)).alias("times")).join(mapped.select("fp", "root"), "fp")
+    rows = Scratch(docs.sparkSession).put(rows.select("doc_id", "tx", "root", "times"), "rows")
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "tx")).alias("best"))
+    gone = rows.join(best, "root").where(~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("tx") == F.col("best.tx")))).select(F.col("doc_id").alias("__gone_id"), F.col("tx").alias("__gone_tx"))
+    repeated = rows.where("times > 1").limit(1).count() > 0
+    out = docs.withColumn("__tx", _text_hash(text))
+    out = out.join(small(gone, SMALL_ROWS), F.col(key).eqNullSafe(F.col("__gone_id")) & (F.col("__tx") == F.col("__gone_tx")), "left_anti")
+    if repeated:
+        # rows without words are numbered, so that none is taken for a repeat
+        wordless = F.coalesce(~F.col(text).rlike(SPACE_WORD), F.lit(True))
+        out = out.withColumn("__no", F.when(wordless, F.monotonically_increasing_id())).dropDuplicates([key, "__tx", "__no"])
+    return out.select(*docs.columns)
 
 
 ORACLE = r"""

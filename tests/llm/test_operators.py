@@ -87,6 +87,17 @@ def test_keep_one(spark):
     assert sorted(kept) == sorted({c for _, _, c in jaccard_truth([(r.doc_id, r.text) for r in docs.collect()])})
 
 
+def test_keep_one_goes_by_rows(spark):
+    rng = np.random.default_rng(21)
+    a, b, c, d, e, f = (sentence(rng, 40) for _ in range(6))
+    # ids repeat over unrelated texts, also where one of them is a copy of a smaller id's; nulls are many documents
+    rows = [(1, b), (5, a), (6, a.upper()), (5, b), (None, c), (None, d), (None, d), (8, e), (8, f), (9, ""), (9, ""), (9, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
+    kept = Counter((r.doc_id, r.text) for r in jaccard.keep_one(docs).collect())
+    assert kept == Counter([(1, b), (5, a), (None, c), (None, d), (8, e), (8, f), (9, ""), (9, ""), (9, None), (None, None)])
+    assert jaccard.keep_one(docs.limit(0)).count() == 0
+
+
 def test_need_and_boundary():
     assert jaccard.need(5) == 1 and jaccard.need(2000) > 100 and all(jaccard.need(n) <= jaccard.need(n + 1) for n in range(1, 400))
     assert jaccard.cost_boundary([(5, 10, 1000), (400, 10, 1000)]) == 5

@@ -8,8 +8,9 @@ Differencing alone can't give right results: it would delete an article's own li
 and whole articles that two URLs carry, and it can't see the adverts and reader comments that
 each page has for itself. So the lines of an article element (or main, where there is none) stay
 even if shared, and lines of elements whose tag, role, class or id says that they hold menus,
-adverts, comments and the like go even if not shared. A pair whose other lines are nearly all
-shared is taken for copies and deletes nothing.
+adverts, comments and the like go even if not shared. On all other lines, beside an article too,
+differencing decides. A pair whose other lines are nearly all shared is taken for copies and
+deletes nothing.
 
 Only line hashes are shuffled. Pages are dealt by their place in the global order, in blocks
 of BLOCK pages with the NEAR pages beside them, so a host with a third of all pages is as
@@ -140,7 +141,7 @@ def lines(page: str) -> list[tuple[str, int]]:
             any_main |= tag == "main"
     end()
     best = ARTICLE if any_article else 1 if any_main else 0
-    return [(t, BOILER if place != best else ARTICLE if best else PLAIN) for t, place, _ in out]
+    return [(t, BOILER if place == 3 else ARTICLE if best and place == best else PLAIN) for t, place, _ in out]
 
 
 def place(url: str | None) -> tuple[str, str]:

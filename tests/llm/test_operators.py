@@ -273,6 +273,13 @@ def test_html_differencing(spark):
     assert html.extract(pages).count() == len(rows) and html.extract(pages.limit(0)).count() == 0
 
 
+def test_html_differencing_beside_an_article(spark):
+    shell = "<div>Site head</div><article><h2>Teaser {i}</h2></article><div><p>body {i}</p><p>more {i}</p><p>end {i}</p></div><nav>Menu {i}</nav><p>Site end</p>"
+    pages = spark.createDataFrame([(i, f"http://h.example/a/{i}", shell.format(i=i)) for i in range(5)], "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(pages).collect()}
+    assert got == {i: f"Teaser {i}\n\nbody {i}\n\nmore {i}\n\nend {i}" for i in range(5)}
+
+
 def test_common_is_longest():
     rng = np.random.default_rng(6)
     for _ in range(300):

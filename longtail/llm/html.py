@@ -1,7 +1,8 @@
 """Main text of web pages by differencing with the pages of the nearest URLs.
 
-A page is cut into lines, one a block. Pages are ordered by host, URL path, URL and id, and
-each is aligned with the next NEAR pages of its host by a longest common subsequence of its
+A page is cut into lines, one a block. Pages of a host with equal lines are one, at the first
+of their URLs. The distinct pages are ordered by host, URL path, URL and id, and each is aligned
+with the NEAR before and the NEAR after it of its host by a longest common subsequence of its
 lines. Lines shared with a neighbour are deleted.
 
 Differencing alone can't give right results: it would delete an article's own licence lines
@@ -9,8 +10,11 @@ and whole articles that two URLs carry, and it can't see the adverts and reader
 each page has for itself. So the lines of an article element (or main, where there is none) stay
 even if shared, and lines of elements whose tag, role, class or id says that they hold menus,
 adverts, comments and the like go even if not shared. On all other lines, beside an article too,
-differencing decides. A pair whose other lines are nearly all shared is taken for copies and
-deletes nothing.
+differencing decides. A neighbour is taken for a near copy if it shares COPY_SHARE of the lines
+that no other neighbour shares, and the lines that it alone shares stay. Two things can't be told
+from the lines of a few neighbours: a host's only two pages with a long template from near copies
+(taken for copies, the template stays), and three or more near copies side by side from pages
+of one template (taken for the latter, what they share goes, unless it is in an article).
 
 Only line hashes are shuffled. Pages are dealt by their place in the global order, in blocks
 of BLOCK pages with the NEAR pages beside them, so a host with a third of all pages is as
@@ -178,7 +182,7 @@ def common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = [[], [], [], []]
+        out = [[], [], [], [], []]
         for url, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             host, path = place(url)
             got = lines(page or "")
@@ -186,8 +190,9 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out[1].append(path)
             out[2].append([xxhash.xxh64_intdigest(t) - (1 << 63) for t, _ in got])
             out[3].append([p for _, p in got])
-        kinds = (pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(1), *(pa.array(x, k) for x, k in zip(out, kinds))], names=["id", "row", "url", "host", "path", "line", "place"])
+            out[4].append(xxhash.xxh64_intdigest(np.array([out[2][-1], out[3][-1]], np.int64).tobytes()) - (1 << 63))
+        kinds = (pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(1), *(pa.array(x, k) for x, k in zip(out, kinds))], names=["id", "row", "url", "host", "path", "line", "place", "fp"])
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,23 +203,36 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), part), pa.int32()), pa.array(at, pa.int64()), *(batch.column(batch.schema.names.index(c)) for c in ("row", "host", "line", "place"))], names=["part", "at", "row", "host", "line", "place"])
 
 
+def deleted(places: list[int], shared: list[set[int]]) -> set[int]:
+    """Of a page's lines, given those that it shares with each neighbour, the ones to delete.
+
+    A neighbour is a copy if nearly all lines that no other neighbour shares are shared with it, and so are those
+    of the article; the lines that it alone shares then stay.
+    """
+    gone = {x for s in shared for x in s if places[x] != ARTICLE}
+    for k, s in enumerate(shared):
+        others = set().union(*shared[:k], *shared[k + 1 :])
+        own = [x for x, p in enumerate(places) if p != BOILER and x not in others]
+        article = [x for x in own if places[x] == ARTICLE]
+        if own and all(sum(x in s for x in part) >= COPY_SHARE * len(part) for part in (own, article)):
+            gone.difference_update(x for x in own if x in s)
+    return gone
+
+
 def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of the block's pages, the lines (never an article's) that a neighbour shares."""
+    """Of the block's pages, the lines (never an article's) that are deleted because neighbours share them."""
     pdf = pdf.sort_values("pos", kind="stable")
     hosts, rows, own = pdf["host"].tolist(), pdf["row"].tolist(), pdf["own"].tolist()
     texts, places = [list(x) for x in pdf["line"]], [list(x) for x in pdf["place"]]
-    gone: list[set[int]] = [set() for _ in rows]
+    shared: list[list[set[int]]] = [[] for _ in rows]
     for i in range(len(rows)):
         for j in range(i + 1, min(i + 1 + NEAR, len(rows))):
             if not hosts[i] or hosts[i] != hosts[j] or not (own[i] or own[j]):
                 continue
             pairs = common(texts[i], texts[j])
-            for page, shared in ((i, [x for x, _ in pairs]), (j, [y for _, y in pairs])):
-                plain = places[page].count(PLAIN)
-                took = sum(places[page][x] == PLAIN for x in shared)
-                if took and took >= COPY_SHARE * plain:
-                    shared = [x for x in shared if places[page][x] != PLAIN]
-                gone[page].update(x for x in shared if places[page][x] != ARTICLE)
+            shared[i].append({x for x, _ in pairs})
+            shared[j].append({y for _, y in pairs})
+    gone = [deleted(p, s) if o else set() for p, s, o in zip(places, shared, own)]
     got = [(r, sorted(g)) for r, g, o in zip(rows, gone, own) if o and g]
     return pd.DataFrame({"row": pd.Series([r for r, _ in got], dtype="int64"), "gone": pd.Series([g for _, g in got], dtype=object)})
 
@@ -222,8 +240,12 @@ def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
 def shared_lines(pages: DataFrame) -> DataFrame:
     """(row, gone): indices of the lines that each page, pages(id, url, html, row), shares with its neighbours."""
     scratch = Scratch(pages.sparkSession)
-    hashed = pages.select("id", "url", "html", "row").mapInArrow(_hashes, f"id {pages.schema['id'].dataType.simpleString()}, row bigint, url string, host string, path string, line array<bigint>, place array<int>")
-    ordered = hashed.where("host != ''").repartitionByRange("host", "path", "url", "id").sortWithinPartitions("host", "path", "url", "id", "row")
+    hashed = pages.select("id", "url", "html", "row").mapInArrow(_hashes, f"id {pages.schema['id'].dataType.simpleString()}, row bigint, url string, host string, path string, line array<bigint>, place array<int>, fp bigint")
+    hashed = scratch.put(hashed.where("host != ''"), "hashed")
+    # equal pages of a host are one, at its first place
+    first = F.min(F.struct("path", "url", "id", "row", "line", "place")).alias("first")
+    distinct = scratch.put(hashed.groupBy("host", "fp").agg(first).select("host", "fp", "first.*"), "distinct")
+    ordered = distinct.repartitionByRange("host", "path", "url", "id").sortWithinPartitions("host", "path", "url", "id", "row")
     ordered = scratch.put(ordered.mapInArrow(_numbered, "part int, at bigint, row bigint, host string, line array<bigint>, place array<int>"), "ordered")
     first, offsets = 0, []
     for part, n in sorted((r["part"], r["n"]) for r in ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()):
@@ -234,7 +256,10 @@ def shared_lines(pages: DataFrame) -> DataFrame:
     block = F.floor(F.col("pos") / BLOCK)
     beside = F.array_distinct(F.array(block, F.floor((F.col("pos") - NEAR) / BLOCK), F.floor((F.col("pos") + NEAR) / BLOCK)))
     dealt = placed.withColumn("block", F.explode(beside)).withColumn("own", F.col("block") == block)
-    return scratch.put(dealt.groupBy("block").applyInPandas(_shared, "row bigint, gone array<int>").dropDuplicates(["row"]), "shared")
+    found = scratch.put(dealt.groupBy("block").applyInPandas(_shared, "row bigint, gone array<int>").dropDuplicates(["row"]), "found")
+    found = distinct.select("row", "host", "fp").join(small(found, SMALL_ROWS), "row").select("host", "fp", "gone")
+    rows = hashed.select("row", "host", "fp").distinct()
+    return scratch.put(rows.join(small(found, SMALL_ROWS), ["host", "fp"]).select("row", "gone"), "shared")
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

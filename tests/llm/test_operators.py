@@ -280,6 +280,26 @@ def test_html_differencing_beside_an_article(spark):
     assert got == {i: f"Teaser {i}\n\nbody {i}\n\nmore {i}\n\nend {i}" for i in range(5)}
 
 
+def test_html_long_templates_and_copies(spark):
+    def page(host, own, end="", at=None):
+        return f"http://{host}.example/{at or own}{end}", "".join(f"<p>{host} template {n}</p>" for n in range(8)) + f"<p>title {own}</p><p>story {own}</p>"
+
+    rows = [page("short", i) for i in range(5)]
+    rows += [page("copies", "a", f"?v={n}") for n in range(7)] + [page("copies", i) for i in "bc"]
+    body = "".join(f"<p>same {n}</p>" for n in range(9))
+    rows += [(u, h + body + f"<p>at {n}</p>") for n, (u, h) in enumerate([page("near", "a"), page("near", "a", "?print")])]
+    rows += [page("near", "b"), page("near", "c")]
+    pages = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "page_id bigint, url string, html string")
+    got = {r.url: r.text for r in html.extract(pages).collect()}
+    assert len(got) == len(rows)
+    for url, text in got.items():
+        name = url.split("/")[-1].split("?")[0]
+        want = [f"title {name}", f"story {name}"]
+        if url.startswith("http://near.example/a"):
+            want += [f"same {n}" for n in range(9)] + [f"at {int('print' in url)}"]
+        assert text.split("\n\n") == want, url
+
+
 def test_common_is_longest():
     rng = np.random.default_rng(6)
     for _ in range(300):

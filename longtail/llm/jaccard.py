@@ -21,7 +21,8 @@ Shingles are 64-bit hashes; two of 10**9 shingles collide with probability 0.03.
 
 Defined cases: a null or blank text has an empty set and links with nothing; fewer than five
 words make one shingle of the whole sequence; rows that share an id are nodes of their own
-sets (both belong to the component of their set); empty tables give empty results.
+sets (both belong to the component of their set); rows with a null id link like all others, and a
+component is named by its smallest id, or null where all its ids are; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -160,9 +161,17 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fingerprint, size and set of each text, once a task for rows that repeat a text."""
     cache: dict = {}
+    seen: set[int] = set()
     for batch in batches:
-        got = [shingles(t, cache) for _, texts in slices(batch.column(0), READ_BYTES) for t in texts]
+        fresh = []
+        for i, mark in enumerate(batch.column(1).to_pylist()):
+            if mark not in seen:
+                seen.add(mark)
+                fresh.append(i)
+        column = batch.column(0).take(pa.array(fresh, pa.int64()))
+        got = [shingles(t, cache) for _, texts in slices(column, READ_BYTES) for t in texts]
         fps = [xxhash.xxh64_intdigest(g.tobytes()) - (1 << 63) if len(g) else None for g in got]
         yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array([len(g) for g in got], pa.int64()), pa.array([g.view(np.int64) for g in got], pa.list_(pa.int64()))], names=["fp", "n", "set"])
 
@@ -337,11 +346,12 @@ def _joined(docs: DataFrame, key: str, text: str, group: int = GROUP) -> tuple[D
     offers = signed.where("offers is not null or told is not null").select("fp", F.explode(F.concat(F.transform(F.coalesce("offers", F.array().cast("array<bigint>")), lambda h: F.struct(h.alias("h"), F.lit(1).alias("w"))), F.transform(F.coalesce("told", F.array().cast("array<bigint>")), lambda h: F.struct(h.alias("h"), F.lit(0).alias("w"))))).alias("o")).select("fp", "o.h", "o.w")
     by_h = "partition by h"
     met = offers.selectExpr("fp", "w", f"min(fp) over ({by_h}) as lo", f"max(fp) over ({by_h}) as hi").where("lo != hi").groupBy("fp").agg(F.sum("w").alias("met"))
-    classes = signed.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.sum("met").alias("here"))
+    classes = signed.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "tx")).alias("one"), F.max("n").alias("n"), F.sum("met").alias("here"))
     kept = classes.join(met, "fp", "left").where(meets("n", F.coalesce("met", F.lit(0)) + F.col("here")))
-    kept = scratch.put(kept.select("fp", "doc_id"), "kept")
+    kept = scratch.put(kept.select("fp", F.col("one.doc_id").alias("one_id"), F.col("one.tx").alias("one_tx")), "kept")
 
-    chosen = texts.join(small(kept.select("doc_id").distinct(), SMALL_ROWS), "doc_id", "left_semi").select("text")
+    # one text of each class, by its row's key, which may be null, and the hash of its text
+    chosen = texts.join(small(kept.select("one_id", "one_tx"), SMALL_ROWS), F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("tx") == F.col("one_tx")), "left_semi").select("text", "tx")
     sets = chosen.mapInArrow(_whole, "fp bigint, n bigint, set array<bigint>").join(small(kept.select("fp"), SMALL_ROWS), "fp", "left_semi")
     sets = scratch.put(sets.dropDuplicates(["fp"]), "sets")
     links = _links(sets, scratch, group)

@@ -81,6 +81,16 @@ def test_jaccard_against_all_pairs(spark, group):
     assert jaccard.join(docs.limit(0)).count() == 0
 
 
+def test_jaccard_null_ids(spark):
+    w = [f"n{i}" for i in range(100)]
+    texts = [" ".join(w[i : i + 80]) for i in (0, 5, 10)]  # the first and the last hang together through the middle one
+    other = [" ".join(f"m{i}" for i in range(k, 60)) for k in (0, 2)]
+    docs = spark.createDataFrame([(3, texts[0]), (None, texts[1]), (None, texts[1]), (4, texts[2]), (None, other[0]), (None, other[1])], "doc_id bigint, text string")
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(docs).collect())
+    assert got == Counter([(3, 76, 3), (None, 76, 3), (None, 76, 3), (4, 76, 3), (None, 56, None), (None, 54, None)])
+    assert Counter(r.doc_id for r in jaccard.keep_one(docs).collect()) == Counter([3, None])
+
+
 def test_keep_one(spark):
     docs = documents(spark)
     kept = [r.doc_id for r in jaccard.keep_one(docs).collect()]

@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir; only where that is unset (local runs) under a local one."""
+    """A fresh folder under spark.checkpoint.dir. Only a local master, whose tasks see the driver's disk, may do without that setting."""
+    context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        known = context._jsc.sc().getCheckpointDir()
         if known.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="longtail-"))
-            known = spark.sparkContext._jsc.sc().getCheckpointDir()
+            if not context.master.split("[")[0] == "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="longtail-"))
+            known = context._jsc.sc().getCheckpointDir()
         root = known.get()
     return f"{root.rstrip('/')}/longtail-{uuid.uuid4().hex}"
 

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import builtins
-import tempfile
-import uuid
+import pickle
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.shared import folder as shared_dir
+
 #: ASCII white space as the word patterns of this package see it; bytes.split() cuts at exactly these.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
@@ -27,21 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir, which every executor can read.
-
-    Only where that setting is absent (local runs, tests) a local folder is set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if kept.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="longtail-"))
-            kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = kept.get()
-    return f"{root.rstrip('/')}/longtail-{uuid.uuid4().hex}"
-
-
 class Scratch:
     """Tables written to the shared folder to cut lineage; drop() removes the ones no later step reads."""
 
@@ -75,6 +62,33 @@ def once(key: str, make: Callable):
     return kept[key]
 
 
+def sent(spark: SparkSession, value) -> Callable:
+    """A broadcast of value, as a function that gives it on an executor, which need not have this package: classes go by value."""
+    data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    number = data._jbroadcast.id()
+
+    def get():
+        kept = builtins.__dict__.setdefault("_longtail_sent", {})
+        if number not in kept:
+            while len(kept) > 1:  # a worker serves few steps at a time
+                kept.pop(next(iter(kept)))
+            kept[number] = pickle.loads(data.value)
+        return kept[number]
+
+    return get
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until df has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def slices(column: pa.Array, most: int) -> Iterator[tuple[int, list]]:
     """A string or binary column as (first row, values) of about `most` bytes each, so that a batch is never held twice."""
     size = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)

@@ -11,7 +11,8 @@ benchmark takes one more pass over the same rows for each block.
 Defined cases: null and empty texts have no words and are clean; items with a
 null id or without words are ignored; an id that occurs in several rows counts
 once; repeated documents are judged each on its own; empty tables give empty results;
-a column named like an output (n_words, n_hit, items, spans) is replaced.
+`mark` replaces columns named like an output (n_words, n_hit, items, spans); `remove` returns all
+columns as they were.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fresh, sent
+
 WINDOW = 13
 MAX_WINDOWS = 2_000_000
 #: Lower-cases A-Z and turns every byte that is no letter, digit or part of a non-ASCII character into a blank.
@@ -60,31 +63,42 @@ def rolling(ids: np.ndarray, size: int, up: np.ndarray, down: np.ndarray) -> np.
 
 
 class Index:
-    """One block of the benchmark: vocabulary, and for each window size the sorted hashes with their windows and items."""
+    """One block of the benchmark: its words as ids in a row, and for each window size the sorted hashes with each window's place and item."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], size: int):
         self.vocab: dict[bytes, int] = {}
-        rows: dict[int, list] = {}
         self.names = sorted({name for name, _ in items})
         at = {name: i for i, name in enumerate(self.names)}
-        for name, ws in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in ws]
-            k = min(size, len(ids))
-            rows.setdefault(k, []).extend((tuple(ids[i : i + k]), at[name]) for i in range(len(ids) - k + 1))
+        self.stream = np.fromiter((self.vocab.setdefault(w, len(self.vocab) + 1) for _, ws in items for w in ws), np.int32)
+        begin = np.cumsum([0, *(len(ws) for _, ws in items)])
+        rows: dict[int, list[tuple[np.ndarray, int]]] = {}
+        for i, (name, ws) in enumerate(items):
+            k = min(size, len(ws))
+            rows.setdefault(k, []).append((np.arange(begin[i], begin[i + 1] - k + 1), at[name]))
         self.sizes = []
         for k, got in rows.items():
-            got = sorted(set(got))
-            grams = np.array([g for g, _ in got], np.int32)
-            up = powers(k, PRIME)
-            hashes = (grams.astype(np.uint64) * up).sum(axis=1, dtype=np.uint64)
-            order = np.argsort(hashes, kind="stable")
-            self.sizes.append((k, hashes[order], grams[order], np.array([i for _, i in got], np.int32)[order]))
+            start = np.concatenate([s for s, _ in got])
+            owner = np.repeat(np.array([o for _, o in got], np.int32), [len(s) for s, _ in got])
+            hashes = np.zeros(len(start), np.uint64)
+            for j, p in enumerate(powers(k, PRIME)):
+                hashes += self.stream[start + j].astype(np.uint64) * p
+            order = np.lexsort((owner, hashes))
+            hashes, start, owner = hashes[order], start[order], owner[order]
+            # a window that an item repeats is kept once
+            again = np.zeros(len(start), bool)
+            again[1:] = (hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])
+            same = np.flatnonzero(again)
+            for j in range(k):
+                same = same[self.stream[start[same] + j] == self.stream[start[same - 1] + j]]
+            stay = np.ones(len(start), bool)
+            stay[same] = False
+            self.sizes.append((k, hashes[stay], start[stay].astype(np.int32), owner[stay]))
 
     def find(self, ids: np.ndarray, up: np.ndarray, down: np.ndarray) -> tuple[np.ndarray, set[int]]:
         """Which words lie in an occurring window, and the indices of the items whose windows occur."""
         hit, items = np.zeros(len(ids), bool), set()
         known = np.concatenate([[0], np.cumsum(ids > 0)])
-        for k, hashes, grams, owner in self.sizes:
+        for k, hashes, places, owner in self.sizes:
             if len(ids) < k:
                 continue
             start = np.flatnonzero(known[k:] - known[:-k] == k)
@@ -93,7 +107,7 @@ class Index:
             h = rolling(ids, k, up, down)[start]
             lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
             for s, a, b in zip(start[lo < hi], lo[lo < hi], hi[lo < hi]):
-                same = np.flatnonzero((grams[a:b] == ids[s : s + k]).all(axis=1))
+                same = np.flatnonzero((self.stream[places[a:b, None] + np.arange(k)] == ids[s : s + k]).all(axis=1))
                 if len(same):
                     hit[s : s + k] = True
                     items.update(owner[a:b][same].tolist())
@@ -115,53 +129,60 @@ def blocks(benchmark: DataFrame, text: str, item: str, size: int, max_windows: i
         yield Index(held, size)
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", size: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """docs with n_words, n_hit, items (ids of occurring items, sorted as strings) and spans (word ranges hit, [start, end) in turn)."""
-    outputs = {"n_words": T.LongType(), "n_hit": T.LongType(), "items": T.ArrayType(T.StringType()), "spans": T.ArrayType(T.LongType())}
-    df = docs.drop(*outputs)
+OUTPUTS = ("n_words", "n_hit", "items", "spans")
+KINDS = (T.LongType(), T.LongType(), T.ArrayType(T.StringType()), T.ArrayType(T.LongType()))
+
+
+def mark(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", size: int = WINDOW, max_windows: int = MAX_WINDOWS, names: tuple[str, ...] = OUTPUTS
+) -> DataFrame:
+    """docs with n_words, n_hit, items (ids of occurring items, sorted as strings) and spans (word ranges hit, [start, end) in turn), under the names given."""
+    replaced = {n.lower() for n in names}
+    kept = [f for f in docs.schema.fields if f.name.lower() not in replaced]
+    df = docs.select(*(F.col(f"`{f.name}`") for f in kept))
+    schema = T.StructType([*kept, *(T.StructField(n, t) for n, t in zip(names, KINDS))])
+    place = [f.name for f in kept].index(text)
     for k, index in enumerate(blocks(benchmark, item_text, item, size, max_windows)):
-        sent = df.sparkSession.sparkContext.broadcast(index)
-        schema = T.StructType([*df.drop(*outputs).schema.fields, *(T.StructField(n, t) for n, t in outputs.items())])
-        df = df.mapInArrow(_scan(sent, text, k > 0), schema)
+        df = df.mapInArrow(_scan(sent(docs.sparkSession, index), place, len(kept), list(names), k > 0), schema)
     return df
 
 
-def _scan(sent, text: str, again: bool):
+def _scan(get_index, place: int, width: int, names: list[str], again: bool):
+    """Marks behind the first `width` columns, of which the text is the one at `place`; again: earlier marks stand there already."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = sent.value
+        index = get_index()
         get = index.vocab.get
         inverse = pow(PRIME, -1, 1 << 64)
         up, down = powers(1 << 12, PRIME), powers(1 << 12, inverse)
         for batch in batches:
-            out = {"n_words": [], "n_hit": [], "items": [], "spans": []}
-            before = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("items", "spans")] if again else None
-            for i, t in enumerate(batch.column(batch.schema.get_field_index(text)).to_pylist()):
+            total, hits, owners, spans = [], [], [], []
+            before = [batch.column(width + c).to_pylist() for c in (2, 3)] if again else None
+            for i, t in enumerate(batch.column(place).to_pylist()):
                 ws = words(t)
                 if len(ws) > len(up):
                     up, down = powers(2 * len(ws), PRIME), powers(2 * len(ws), inverse)
                 ids = np.fromiter((get(w, 0) for w in ws), np.int64, len(ws))
                 hit, items = index.find(ids, up, down)
-                names = {index.names[x] for x in items}
+                found = {index.names[x] for x in items}
                 if again:
-                    names |= set(before[0][i])
+                    found |= set(before[0][i])
                     for a, b in zip(before[1][i][::2], before[1][i][1::2]):
                         hit[a:b] = True
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], hit, [0]]).astype(np.int8)))
-                out["n_words"].append(len(ws))
-                out["n_hit"].append(int(hit.sum()))
-                out["items"].append(sorted(names))
-                out["spans"].append(edges.tolist())
-            kinds = {"n_words": pa.int64(), "n_hit": pa.int64(), "items": pa.list_(pa.string()), "spans": pa.list_(pa.int64())}
-            kept = [(f, batch.column(j)) for j, f in enumerate(batch.schema) if f.name not in out]
-            made = [(pa.field(n, kinds[n]), pa.array(v, kinds[n])) for n, v in out.items()]
-            yield pa.RecordBatch.from_arrays([c for _, c in kept + made], schema=pa.schema([f for f, _ in kept + made]))
+                total.append(len(ws))
+                hits.append(int(hit.sum()))
+                owners.append(sorted(found))
+                spans.append(edges.tolist())
+            made = [pa.array(total, pa.int64()), pa.array(hits, pa.int64()), pa.array(owners, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *made], names=[*batch.schema.names[:width], *names])
 
     return scan
 
 
-def contaminated():
+def contaminated(n_words: str = "n_words", n_hit: str = "n_hit"):
     """At least one word in twenty is hit."""
-    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+    return (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(n_words))
 
 
 def cut_spans(text: str, spans: list[int]) -> str:
@@ -176,12 +197,13 @@ def cut_spans(text: str, spans: list[int]) -> str:
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", unit: str = "document", **options) -> DataFrame:
-    """docs without contaminated documents; with unit="span", without the hit words of every document instead."""
-    marked = mark(docs, benchmark, text, **options)
+    """docs without contaminated documents; with unit="span", without the hit words of every document instead. Other columns stay as they were."""
+    names = fresh(docs, *OUTPUTS)
+    marked = mark(docs, benchmark, text, names=tuple(names), **options)
     if unit == "document":
-        return marked.where(~contaminated()).select(*docs.columns)
+        return marked.where(~contaminated(*names[:2])).drop(*names)
     cut = F.pandas_udf(lambda t, s: t.combine(s, lambda a, b: a if a is None or not len(b) else cut_spans(a, list(b))), "string")
-    return marked.withColumn(text, F.when(F.size("spans") > 0, cut(text, "spans")).otherwise(F.col(text))).select(*docs.columns)
+    return marked.withColumn(text, F.when(F.size(names[3]) > 0, cut(text, names[3])).otherwise(F.col(text))).drop(*names)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ by the hash of their ids. Predictions read the text alone, where it lies; nothin
 
 Defined cases: null texts and texts without a letter are `und` with score 0 and no spans; a model
 fitted on no labelled row predicts `und` for all; ties go to the language that sorts first;
-repeated rows are predicted each on its own; columns named like an output are replaced.
+repeated rows are predicted each on its own. `predict` replaces columns named like an output;
+`reject` returns all columns as they were.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import fresh, sent, slices
 
 SAMPLE = 400
 BUCKETS = 1 << 16
@@ -33,6 +34,8 @@ SWITCH = 9.0
 SCORED = 1 << 14
 SCRIPT_SHARE = 0.01
 UND = "und"
+#: Of a language: at most 32,767 of them.
+INDEX = np.int16
 #: First code point, last code point of script blocks; a word's other letters are Latin.
 SCRIPTS = {
     "greek": (0x370, 0x3FF), "cyrillic": (0x400, 0x52F), "armenian": (0x530, 0x58F), "hebrew": (0x590, 0x5FF), "arabic": (0x600, 0x77F),
@@ -128,18 +131,18 @@ def train(docs: DataFrame, where: Column, text: str = "text", lang: str = "lang"
 def viterbi(score: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Best language of each word of each text: score is texts x words x languages, padded beyond lens."""
     n, t, k = score.shape
-    back = np.zeros((t, n, k), np.int8)
+    back = np.zeros((t, n, k), INDEX)
     v = score[:, 0].copy()
     last = v.copy()
     for i in range(1, t):
         top = v.argmax(1)
         jump = v[np.arange(n), top] - np.float32(SWITCH)
         stay = v >= jump[:, None]
-        back[i] = np.where(stay, np.arange(k, dtype=np.int8)[None], top[:, None].astype(np.int8))
+        back[i] = np.where(stay, np.arange(k, dtype=INDEX)[None], top[:, None].astype(INDEX))
         v = np.where(stay, v, jump[:, None]) + score[:, i]
         ended = lens == i + 1
         last[ended] = v[ended]
-    path = np.zeros((n, t), np.int8)
+    path = np.zeros((n, t), INDEX)
     at = last.argmax(1)
     rows = np.arange(n)
     for i in range(t - 1, -1, -1):
@@ -186,19 +189,24 @@ def label(texts: list[bytes], model: Model) -> list[tuple[str, float, list[tuple
 BATCH_BYTES = 4 << 20
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", spans: bool = True) -> DataFrame:
-    """docs with lang_pred, score and, if asked for, lang_spans (words, first and beyond, of one language)."""
+OUTPUTS = ("lang_pred", "score", "lang_spans")
+
+
+def predict(docs: DataFrame, model: Model, text: str = "text", spans: bool = True, names: tuple[str, ...] = OUTPUTS) -> DataFrame:
+    """docs with lang_pred, score and, if asked for, lang_spans (words, first and beyond, of one language), under the names given."""
+    span = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("beyond", T.LongType()), T.StructField("lang", T.StringType())]))
+    made = [T.StructField(n, k) for n, k in zip(names, (T.StringType(), T.DoubleType(), span))][: 2 + spans]
+    replaced = {f.name.lower() for f in made}
+    kept = [f for f in docs.schema.fields if f.name.lower() not in replaced]
+    column = lambda f: F.col(f"`{f.name}`")
     if not model.langs:
-        out = docs.withColumn("lang_pred", F.lit(UND)).withColumn("score", F.lit(0.0))
-        return out.withColumn("lang_spans", F.expr("cast(array() as array<struct<first: bigint, beyond: bigint, lang: string>>)")) if spans else out
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    kind = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("beyond", T.LongType()), T.StructField("lang", T.StringType())]))
-    made = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *[T.StructField("lang_spans", kind)] * spans]
-    kept = docs.drop(*(f.name for f in made), "__letters")
-    given = kept.withColumn("__letters", F.when(F.col(text).rlike(r"\p{L}"), F.col(text).cast("binary")))
+        return docs.select(*map(column, kept), *(F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(made, (UND, 0.0, None))))
+    get = sent(docs.sparkSession, model)
+    (letters,) = fresh(docs, "letters")
+    given = docs.select(*map(column, kept), F.when(F.col(text).rlike(r"\p{L}"), F.col(text).cast("binary")).alias(letters))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        model = get()
         for batch in batches:
             got = []
             for _, texts in slices(batch.column(batch.num_columns - 1), BATCH_BYTES):
@@ -208,7 +216,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", spans: bool = Tru
                 new.append(pa.array([[{"first": x, "beyond": y, "lang": z} for x, y, z in g[2]] for g in got], pa.list_(pa.struct([("first", pa.int64()), ("beyond", pa.int64()), ("lang", pa.string())]))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[*batch.schema.names[:-1], *(f.name for f in made)])
 
-    return given.mapInArrow(run, T.StructType([*kept.schema.fields, *made]))
+    return given.mapInArrow(run, T.StructType([*kept, *made]))
 
 
 def held_out(key: str, folds: int, fold: int) -> Column:
@@ -223,5 +231,6 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def reject(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs without those of no language."""
-    return predict(docs, model, text, spans=False).where(F.col("lang_pred") != UND).select(*docs.columns)
+    """docs without those of no language, all columns as they were."""
+    names = fresh(docs, *OUTPUTS)
+    return predict(docs, model, text, False, tuple(names)).where(F.col(names[0]) != UND).drop(*names[:2])

@@ -3,8 +3,12 @@
 Everything is a column expression, so the scan stays inside the JVM and no row
 needs another: there is no shuffle and nothing to skew.
 
+Positions are running sums of lengths, made in blocks of STEP so that the work on one text grows with
+its length (and by a square only in its matches / STEP), and redaction reads the text in pieces of PIECE.
+
 Defined cases: a null text counts as empty; empty tables give empty results;
-repeated rows are scanned on their own; a column named like an output is replaced.
+repeated rows are scanned on their own; `find_pii` replaces a column named like its output, `redact` returns
+all other columns as they were.
 """
 
 from __future__ import annotations
@@ -12,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 # Possessive loops keep Java's matcher iterative. The look-behinds only skip starts inside a
 # run that has failed already, so the matches are those of the plain patterns.
 PATTERNS = {
@@ -36,20 +42,51 @@ CONTEXT = {
     "local_phone": "phone|tel|call|mobile|fax",
 }
 CONTEXT_CHARS = 40
+#: The parts before a span that hold its context, matches having MATCH_CHARS at least.
+MATCH_CHARS = 4
+STEP, PIECE = 128, 4096
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), which is computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _running(values: Column, join) -> Column:
+    """array<bigint>: before each value, the join of all earlier ones; join(a, b) is associative and 0 its neutral value."""
+
+    def scan(part: Column, of) -> Column:
+        start = F.expr("struct(0L as at, cast(array() as array<bigint>) as got)")
+        return F.aggregate(part, start, lambda acc, v: F.struct(join(acc["at"], of(v)).alias("at"), F.concat(acc["got"], F.array(acc["at"])).alias("got")))
+
+    def blocks(all_: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / STEP).cast("int")), lambda i: F.slice(all_, i * STEP + 1, F.lit(STEP)))
+        local = F.transform(parts, lambda part: scan(part, lambda v: v))
+        placed = lambda done: F.arrays_zip(done.alias("block"), scan(done, lambda x: x["at"])["got"].alias("before"))
+        return _bound(local, lambda done: F.flatten(F.transform(placed(done), lambda z: F.transform(z["block"]["got"], lambda x: join(z["before"], x)))))
+
+    return _bound(values, lambda v: F.when(F.size(v) <= STEP, scan(v, lambda x: x)["got"]).otherwise(blocks(v)))
 
 
 def _found(text: Column, pattern: str) -> Column:
-    """array<struct<s, e, v>> of all matches; positions in code points, from the text between them."""
+    """array<struct<s, e, v, before>> of all matches; positions in code points, from the text between them; before: the CONTEXT_CHARS before it."""
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    empty = F.expr("struct(0L as at, cast(array() as array<struct<s: bigint, e: bigint, v: string>>) as got)")
+    wide = CONTEXT_CHARS // MATCH_CHARS
+
+    def spans(all_: Column) -> Column:
+        lengths = F.transform(all_, lambda p: (F.length(p["gap"]) + F.coalesce(F.length(p["hit"]), F.lit(0))).cast("bigint"))
+        zipped = F.arrays_zip(all_.alias("part"), _running(lengths, lambda a, b: a + b).alias("at"))
 
-    def step(acc: Column, part: Column) -> Column:
-        s = acc["at"] + F.length(part["gap"])
-        e = s + F.coalesce(F.length(part["hit"]), F.lit(0))
-        one = F.array(F.struct(s.alias("s"), e.alias("e"), part["hit"].alias("v")))
-        return F.struct(e.alias("at"), F.when(part["hit"].isNull(), acc["got"]).otherwise(F.concat(acc["got"], one)).alias("got"))
+        def span(z: Column, i: Column) -> Column:
+            first = F.greatest(i - wide, F.lit(0))
+            earlier = F.array_join(F.flatten(F.transform(F.slice(all_, first + 1, i - first), lambda p: F.array(p["gap"], p["hit"]))), "")
+            s = z["at"] + F.length(z["part"]["gap"])
+            v = z["part"]["hit"]
+            return F.struct(s.alias("s"), (s + F.length(v)).alias("e"), v.alias("v"), F.right(F.concat(earlier, z["part"]["gap"]), F.lit(CONTEXT_CHARS)).alias("before"))
 
-    return F.aggregate(parts, empty, step, lambda acc: acc["got"])
+        return F.filter(F.transform(zipped, span), lambda m: m["v"].isNotNull())
+
+    return _bound(parts, spans)
 
 
 def luhn(digits: Column) -> Column:
@@ -86,13 +123,11 @@ def _valid(kind: str, v: Column) -> Column:
 def _kind(text: Column, kind: str, no: int) -> Column:
     """array<struct<start, kind_no, end, kind, score>> of the confirmed spans of one kind."""
     may = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}.get(kind, text.rlike("[0-9]"))
-    none = F.expr("cast(array() as array<struct<s: bigint, e: bigint, v: string>>)")
+    none = F.expr("cast(array() as array<struct<s: bigint, e: bigint, v: string, before: string>>)")
     found = F.filter(F.when(may, _found(text, PATTERNS[kind])).otherwise(none), lambda m: _valid(kind, m["v"]))
 
     def scored(m: Column) -> Column:
-        first = F.greatest(m["s"] - CONTEXT_CHARS, F.lit(0))
-        before = F.lower(text.substr((first + 1).cast("int"), (m["s"] - first).cast("int")))
-        score = F.lit(PRIOR[kind]) + F.when(before.rlike(rf"\b({CONTEXT[kind]})"), 0.3).otherwise(0.0)
+        score = F.lit(PRIOR[kind]) + F.when(F.lower(m["before"]).rlike(rf"\b({CONTEXT[kind]})"), 0.3).otherwise(0.0)
         return F.struct(m["s"].alias("start"), F.lit(no).alias("kind_no"), m["e"].alias("end"), F.lit(kind).alias("kind"), F.least(score, F.lit(1.0)).alias("score"))
 
     return F.transform(found, scored)
@@ -118,15 +153,24 @@ def listed(spans: Column) -> Column:
 def redact(df: DataFrame, text: str = "text", min_score: float = 0.5) -> DataFrame:
     """df with every span in `text` replaced by [KIND]; overlapping spans leave one mark each, null stays null."""
     t = F.col(text)
-    part = lambda a, b: t.substr((a + 1).cast("int"), (b - a).cast("int"))
-
-    def step(acc: Column, m: Column) -> Column:
-        gap = F.when(m["start"] > acc["at"], part(acc["at"], m["start"])).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], m["end"]).alias("at"), F.concat(acc["t"], gap, F.lit("["), F.upper(m["kind"]), F.lit("]")).alias("t"))
-
-    new = F.aggregate(F.col("__pii"), F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("t")), step, lambda acc: F.concat(acc["t"], part(acc["at"], F.length(t).cast("bigint"))))
-    marked = find_pii(df, text, min_score, "__pii")
-    return marked.withColumn(text, F.when(F.size("__pii") > 0, new).otherwise(t)).drop("__pii")
+    (found,) = fresh(df, "found")
+
+    def cut(spans: Column, pieces: Column) -> Column:
+        # the characters [a, b) from the pieces that hold them
+        def part(a: Column, b: Column) -> Column:
+            first = F.floor(a / PIECE)
+            some = F.array_join(F.slice(pieces, (first + 1).cast("int"), (F.floor(b / PIECE) - first + 1).cast("int")), "")
+            return some.substr((a - first * PIECE + 1).cast("int"), (b - a).cast("int"))
+
+        ends = _running(F.transform(spans, lambda m: m["end"]), lambda a, b: F.greatest(a, b))
+        marks = F.transform(F.arrays_zip(spans.alias("m"), ends.alias("at")), lambda z: F.concat(F.when(z["m"]["start"] > z["at"], part(z["at"], z["m"]["start"])).otherwise(""), F.lit("["), F.upper(z["m"]["kind"]), F.lit("]")))
+        tail = _bound(F.array_max(F.transform(spans, lambda m: m["end"])), lambda last: part(last, F.length(t).cast("bigint")))
+        return F.array_join(F.concat(marks, F.array(tail)), "")
+
+    pieces = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    new = _bound(F.col(found), lambda spans: _bound(pieces, lambda p: cut(spans, p)))
+    marked = find_pii(df, text, min_score, found)
+    return marked.withColumn(text, F.when(F.size(found) > 0, new).otherwise(t)).drop(found)
 
 
 def digest(df: DataFrame) -> DataFrame:

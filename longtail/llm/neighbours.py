@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, sent
 
 SAMPLE, PER_LIST, MAX_CENTROIDS = 20_000, 128, 4096
 REPLICATE, COPIES = 0.12, 4
@@ -88,11 +88,11 @@ def _classes(dim: int, keep: int):
     return run
 
 
-def _spread(sent, query: bool, bundles: int, least: int):
+def _spread(get, query: bool, bundles: int, least: int):
     """(bundle, lists, vec, ids): where each vector is stored, or searched."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = sent.value
+        c = get()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -194,16 +194,16 @@ def search(vectors: DataFrame, queries, k: int = 10, key: str = "vec_id", vector
     sample = share.orderBy("order", "vec").limit(SAMPLE).collect()
     x = np.frombuffer(b"".join(bytes(r[0]) for r in sample), np.float64).reshape(len(sample), -1)
     c = fit(x, max(1, min(n // PER_LIST, MAX_CENTROIDS, len(x) // 4)))
-    sent = spark.sparkContext.broadcast(c)
+    centroids = sent(spark, c)
     bundles = max(1, min(len(c), -(-n * COPIES // CAP)))
     kinds = "bundle int, lists array<int>, vec binary, ids array<bigint>"
 
-    posting = scratch.put(entries.mapInArrow(_spread(sent, False, bundles, least), kinds), "posting")
+    posting = scratch.put(entries.mapInArrow(_spread(centroids, False, bundles, least), kinds), "posting")
     pieces = posting.groupBy("bundle").count().select("bundle", F.ceil(F.col("count") / CAP).cast("int").alias("pieces"))
     asked = rows.where(queries(F.col("id")))
     ask = classes(asked, 1)  # a class of equal queries goes by its smallest id
     ask = scratch.put(ask, "ask")
-    routes = ask.mapInArrow(_spread(sent, True, bundles, least), kinds)
+    routes = ask.mapInArrow(_spread(centroids, True, bundles, least), kinds)
     turns = F.lit(max(1, -(-ask.count() // ASK_CAP)))
     # bundles are no more than lists (at most 2 * MAX_CENTROIDS), so their sizes may be broadcast
     stored = posting.join(F.broadcast(pieces), "bundle").select("bundle", F.pmod(F.xxhash64("vec"), "pieces").cast("int").alias("piece"), F.explode(F.sequence(F.lit(0), turns - 1)).alias("turn"), "lists", "vec", "ids", F.lit(False).alias("ask"))

@@ -8,12 +8,12 @@ hold. The expected severity is the sum of P(grade > k).
 The model is fitted on at most SAMPLE labelled texts, half of them toxic if there are as many, chosen by the hash
 of their ids; scoring reads each whole text once, where it lies.
 
-The tables' labels are 0 or 1. `graded` makes grades 0 to 3 of them: 0 for clean texts, and for toxic
-ones the third of toxic texts in which the number of words and beginnings of that vocabulary falls.
+Labels of more than two values are the grades. The tables' labels are 0 or 1. `graded` makes grades 0 to 3 of them: 0 for clean
+texts, and for toxic ones the third of toxic texts in which the number of words and beginnings of that vocabulary falls.
 
 Defined cases: a null or empty text has no words, and its severity is that of an empty x; labelled rows
 without text, and null labels, are not used; without rows of two grades every severity is 0; an id that is labelled twice
-gives a row for each label to the sample; repeated texts are scored each on its own; columns named like an output are replaced.
+gives a row for each label to the sample; repeated texts are scored each on its own. `score` replaces columns named like an output.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fresh, sent
+
 SAMPLE, VOCAB, MARK = 6000, 1024, 8.0
 STEMS = (4, 5, 6)
 SUPPORT = 0.02
@@ -158,24 +160,33 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, where: Column | None
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", where: Column | None = None, **options) -> Model:
     got = sorted(set(sample(docs, labels, label, where, **options)))  # copies count once
-    return fit([t for t, _ in got], toxic=np.array([x > 0 for _, x in got], bool))
+    texts, grades = [t for t, _ in got], np.maximum([x for _, x in got], 0).astype(np.int64)
+    if len(np.unique(grades)) > 2:
+        return fit(texts, np.unique(grades, return_inverse=True)[1])
+    return fit(texts, toxic=grades > 0)
+
+
+OUTPUTS = ("severity", "grade", "p_toxic", "toxic")
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with severity (expected grade), grade (the most likely one), p_toxic = P(grade > 0) and toxic (p_toxic >= 1/2)."""
-    made = [T.StructField("severity", T.DoubleType()), T.StructField("grade", T.IntegerType()), T.StructField("p_toxic", T.DoubleType()), T.StructField("toxic", T.BooleanType())]
-    kept = docs.drop(*(f.name for f in made), "__text")
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def score(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, ...] = OUTPUTS) -> DataFrame:
+    """docs with severity (expected grade), grade (the most likely one), p_toxic = P(grade > 0) and toxic (p_toxic >= 1/2), under the names given."""
+    made = [T.StructField(n, k) for n, k in zip(names, (T.DoubleType(), T.IntegerType(), T.DoubleType(), T.BooleanType()))]
+    replaced = {n.lower() for n in names}
+    kept = [f for f in docs.schema.fields if f.name.lower() not in replaced]
+    (raw,) = fresh(docs, "raw")
+    get = sent(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        model = get()
         for batch in batches:
             p = model.above([t or b"" for t in batch.column(batch.num_columns - 1).to_pylist()])
             each = -np.diff(np.column_stack([np.ones(len(p)), p, np.zeros(len(p))]), axis=1)
             new = [pa.array(p.sum(1)), pa.array(each.argmax(1).astype(np.int32)), pa.array(p[:, 0]), pa.array(p[:, 0] >= 0.5)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[*batch.schema.names[:-1], *(f.name for f in made)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[*batch.schema.names[:-1], *names])
 
-    return kept.withColumn("__text", F.col(text).cast("binary")).mapInArrow(run, T.StructType([*kept.schema.fields, *made]))
+    given = docs.select(*(F.col(f"`{f.name}`") for f in kept), F.col(text).cast("binary").alias(raw))
+    return given.mapInArrow(run, T.StructType([*kept, *made]))
 
 
 #: Labelled rows of this fold of crc32(doc_id as text) are left out of the sample, to measure with.

@@ -10,11 +10,11 @@ Within its class a word is drawn by its training count c, with one symbol for al
 the class that training has not seen: (c + 0.1) / (1.1 n + 0.1), n being the class's training tokens. A class of
 n tokens has at most n different words, so this sums to 1 at most.
 
-Three passes over the texts: frequent words; exact counts and training, each task over its own
-rows from the same start, parameters averaged by tokens; scoring. Words outside the HEAD most
-frequent can be many and are not broadcast: their occurrences are shuffled by word hash, one row a
-text, joined with their own training count there and summed by text. A word outside the head makes up less than
-about one token in HEAD, so no such key is hot.
+Three passes over the texts: exact counts of all words; training; scoring. Training deals its rows to learners of LEARN
+tokens, however the table is partitioned: each goes EPOCHS times over its tokens from the same start, and the
+parameters are averaged by tokens. Counts of words outside the HEAD most frequent can be many and are not broadcast: their
+occurrences, one row a text and word, are joined with the counts by word hash (an equi-join of which Spark
+may split a hot key) and summed by text.
 
 Defined cases: a null text is an empty one, which is the end token; without training rows the model
 is its start and all counts are 0; rows that share an id are scored each on its own;
@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +34,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices, word_bytes
+from .common import Scratch, sent, slices, word_bytes
 
-WORDS, ENDINGS, DIM = 1024, 512, 24
-HEAD, HEAD_SHARE = 100_000, 1e-6
+WORDS, ENDINGS, DIM = 2048, 512, 24
+HEAD = 100_000
 BATCH, NOISE, RATE = 2048, 32, 0.1
 CHUNK, GROUP_BYTES = 1 << 20, 1 << 20
-#: A task with fewer training tokens goes over them again, EPOCHS times at most.
-AGAIN, EPOCHS = 1 << 21, 6
+#: Tokens of a learner, and how often it goes over them.
+LEARN, EPOCHS = 1 << 20, 2
+#: Seed of Spark's xxhash64.
+SEED = 42
 LOG10 = np.log(10.0)
 
 
@@ -80,8 +82,10 @@ class Bilinear:
         a = (self.into * self.place[0]) @ self.out.T + self.bias
         b = (self.into * self.place[1]) @ self.out.T
         top_a, top_b = a.max(1, keepdims=True), b.max(1, keepdims=True)
-        z = np.log(np.exp((a - top_a).astype(np.float64)) @ np.exp((b - top_b).astype(np.float64)).T) + top_a + top_b.T
-        return a, b, z.astype(np.float32)
+        ea, eb, z = np.exp(a - top_a), np.exp(b - top_b).T.copy(), np.empty((len(a), len(b)), np.float32)
+        for i in range(0, len(a), 256):
+            z[i : i + 256] = np.log(ea[i : i + 256] @ eb)
+        return a, b, z + top_a + top_b.T
 
 
 def _rows(ids: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +99,7 @@ def _rows(ids: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Trainer:
     """Adagrad on the noise-contrastive objective, NOISE shared noise words a batch; weights, if given, count the examples."""
 
-    def __init__(self, model: Bilinear, seed: int, rate: float = RATE):
+    def __init__(self, model: Bilinear, seed, rate: float = RATE):
         self.m, self.rate, self.rng = model.filled(model.flat()), rate, np.random.default_rng(seed)
         self.sums = [np.full(p.shape, 1e-1, np.float32) for p in self.m.parts()]
         self.cdf = np.cumsum(model.noise)
@@ -189,14 +193,13 @@ def vocabulary(head: list[tuple[bytes, int]], words: int) -> tuple[Vocab, np.nda
     return vocab, share
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n) of a chunk's words that make up HEAD_SHARE of it, and occur twice."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) of each chunk's words, and how many texts and tokens it has under null."""
     count: Counter = Counter()
-    tokens = 0
+    tokens = texts = 0
 
     def out() -> pa.RecordBatch:
-        least = max(2, tokens * HEAD_SHARE)
-        got = [(w, n) for w, n in count.items() if n >= least]
+        got = [*count.items(), (None, texts)]
         count.clear()
         return pa.RecordBatch.from_arrays([pa.array([w for w, _ in got], pa.binary()), pa.array([n for _, n in got], pa.int64())], names=["word", "n"])
 
@@ -204,10 +207,11 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ws in group:
             count.update(ws)
             tokens += len(ws)
+        texts += len(group)
         if tokens >= CHUNK:
             yield out()
-            tokens = 0
-    if count:
+            tokens = texts = 0
+    if texts:
         yield out()
 
 
@@ -218,29 +222,37 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield batch, first, [word_bytes(t) for t in texts]
 
 
-def _train(sent):
-    """Of each task: summed counts of head words and symbols, tokens and texts, and its parameters times its tokens."""
+def _train(get, size: int, epochs: int):
+    """Of each task: tokens of each symbol, and its learners' parameters times their tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, start = sent.value
-        trainer = Trainer(start, TaskContext.get().partitionId())
-        counts, symbols = np.zeros(len(vocab.head)), np.zeros(vocab.symbols())
-        tokens = texts = 0
-        kept, rng = [], np.random.default_rng(TaskContext.get().partitionId())
+        vocab, start = get()
+        symbols, total = np.zeros(vocab.symbols()), np.zeros(start.flat().size)
+        kept, held, learners = [], 0, 0
+
+        def finish() -> None:
+            nonlocal total, held, learners
+            if held:
+                seed = (TaskContext.get().partitionId(), learners)
+                trainer, rng = Trainer(start, seed), np.random.default_rng(seed)
+                near, far, out = (np.concatenate(x) for x in zip(*kept))
+                for _ in range(epochs):
+                    learn(trainer, rng, near, far, out)
+                total += trainer.m.flat().astype(np.float64) * held
+                learners += 1
+                kept.clear()
+                held = 0
+
         for _, _, group in _groups(batches):
-            index, near, far, out = vocab.ids(group)
-            counts += np.bincount(index[index >= 0], minlength=len(counts))
+            _, near, far, out = vocab.ids(group)
             symbols += np.bincount(out, minlength=len(symbols))
-            tokens += len(index)
-            texts += len(group)
-            learn(trainer, rng, near, far, out)
-            if tokens <= AGAIN:
-                kept.append((near, far, out))
-        for _ in range(min(EPOCHS, AGAIN // max(1, tokens)) - 1):
-            for part in kept:
-                learn(trainer, rng, *part)
-        if tokens:
-            rows = {"counts": counts, "symbols": symbols, "sizes": np.array([tokens, texts], float), "model": trainer.m.flat().astype(np.float64) * tokens}
+            kept.append((near, far, out))
+            held += len(out)
+            if held >= size:
+                finish()
+        finish()
+        if learners:
+            rows = {"symbols": symbols, "model": total}
             yield pa.RecordBatch.from_arrays([pa.array(list(rows)), pa.array(list(rows.values()), pa.list_(pa.float64()))], names=["kind", "v"])
 
     return run
@@ -253,7 +265,9 @@ class Model:
     symbols: np.ndarray  # training tokens of each symbol
     tokens: int
     texts: int
+    distinct: int  # words of the training texts
     table: tuple[np.ndarray, np.ndarray, np.ndarray]
+    rare: DataFrame | None  # (h, c): training counts of the words outside the head
 
     def log10(self, near: np.ndarray, far: np.ndarray, out: np.ndarray) -> np.ndarray:
         """log10 p(symbol | contexts)."""
@@ -273,40 +287,47 @@ def least_count(counted: DataFrame, most: int) -> int:
     return least
 
 
-def fit(docs: DataFrame, train: Column, text: str = "text", words: int = WORDS, head: int = HEAD) -> Model:
+def fit(docs: DataFrame, train: Column, text: str = "text", words: int = WORDS, head: int = HEAD, size: int = LEARN, epochs: int = EPOCHS) -> Model:
     """The model learnt from the rows for which `train` holds."""
     texts = docs.where(train).select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    counted = scratch.put(texts.mapInArrow(_frequent, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "counted")
-    frequent = sorted(((bytes(r["word"]), r["n"]) for r in counted.where(F.col("n") >= least_count(counted, head)).collect()), key=lambda x: (-x[1], x[0]))
-    scratch.drop(counted)
+    counted = scratch.put(texts.mapInArrow(_counted, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "counted")
+    every = counted.where("word is not null")
+    sums = {r["of"]: r for r in counted.groupBy(F.col("word").isNull().alias("of")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).collect()}
+    n_texts = sums[True]["n"] if True in sums else 0
+    n_words, distinct = (sums[False]["n"], sums[False]["rows"]) if False in sums else (0, 0)
+    tokens = n_words + n_texts
+    least = least_count(every, head)
+    frequent = sorted(((bytes(r["word"]), r["n"]) for r in every.where(F.col("n") >= least).collect()), key=lambda x: (-x[1], x[0]))
     vocab, share = vocabulary(frequent, words)
     start = Bilinear.start(vocab.symbols(), share)
-    sent = spark.sparkContext.broadcast((vocab, start))
-    parts = texts.mapInArrow(_train(sent), "kind string, v array<double>").select("kind", F.posexplode("v")).groupBy("kind", "pos").agg(F.sum("col").alias("v"))
-    got = {"counts": np.zeros(len(frequent)), "symbols": np.zeros(vocab.symbols()), "sizes": np.zeros(2), "model": np.zeros(start.flat().size)}
+    # a task holds a learner's tokens or more, so that small partitions make no weaker learners
+    dealt = texts.coalesce(max(1, tokens // size))
+    parts = dealt.mapInArrow(_train(sent(spark, (vocab, start)), size, epochs), "kind string, v array<double>").select("kind", F.posexplode("v")).groupBy("kind", "pos").agg(F.sum("col").alias("v"))
+    got = {"symbols": np.zeros(vocab.symbols()), "model": np.zeros(start.flat().size)}
     table = parts.toArrow()
     kinds, pos, v = (table[c].to_numpy() for c in ("kind", "pos", "v"))
     for name, into in got.items():
         into[pos[kinds == name]] = v[kinds == name]
-    tokens, n_texts = (int(x) for x in got["sizes"])
     model = start.filled(got["model"] / tokens) if tokens else start
-    return Model(vocab, got["counts"], got["symbols"], tokens, n_texts, model.tables())
+    counts = np.array([n for _, n in frequent], np.float64)
+    rare = every.where(F.col("n") < least).select(F.xxhash64("word").alias("h"), F.col("n").alias("c"))
+    return Model(vocab, counts, got["symbols"], tokens, n_texts, distinct, model.tables(), rare)
 
 
 SCORED = "h bigint, rid bigint, doc_id {}, learnt boolean, n bigint, tokens bigint, known bigint, base double, score double"
 NAMES = ["h", "rid", "doc_id", "learnt", "n", "tokens", "known", "base", "score"]
 
 
-def _score(sent):
+def _score(get):
     """A row for each text with what the head gives, and one for each of its words outside the head.
 
     base lacks the count of such words and, for every token, the denominator; score lacks the count of such words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        m = get()
         vocab, n = m.vocab, m.vocab.words
         # at -2 the end, at -1 a word outside the head
         log_count = np.log10(np.concatenate([m.counts + 0.1, [m.texts + 0.1, 1.0]]))
@@ -339,7 +360,7 @@ def _score(sent):
                 which.extend(c)
                 times.extend(c.values())
             if which:
-                h = np.array([xxhash.xxh64_intdigest(w) - (1 << 63) for w in seen], np.int64)
+                h = np.array([xxhash.xxh64_intdigest(w, SEED) for w in seen], np.uint64).view(np.int64)
                 texts, k = np.concatenate(texts), len(which)
                 empty = (pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))
                 yield pa.RecordBatch.from_arrays([pa.array(h[which]), pa.array(rids[texts]), pa.nulls(k, batch.column(1).type), learnt.take(pa.array(texts)), pa.array(times, pa.int64()), *empty], names=NAMES)
@@ -349,21 +370,17 @@ def _score(sent):
 
 def score(docs: DataFrame, model: Model, train: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; `train` marks the rows that the model has learnt from."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    sent = spark.sparkContext.broadcast(model)
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), F.col(key).alias("doc_id"), train.alias("learnt")).mapInArrow(_score(sent), SCORED.format(kind))
-    # a word's rows meet once: its training count, and the row that counts it as distinct
-    word = rows.selectExpr("*", "sum(if(learnt, n, 0L)) over (partition by h) as c", "min(rid) over (partition by h) as lead")
+    get = sent(docs.sparkSession, replace(model, rare=None))
+    rows = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), F.col(key).alias("doc_id"), train.alias("learnt")).mapInArrow(_score(get), SCORED.format(kind))
+    word = rows.join(model.rare, "h", "left").withColumn("c", F.coalesce("c", F.lit(0).cast("bigint")))
     each = word.selectExpr(
-        "rid", "doc_id", "if(n is null, learnt, null) as learnt", "tokens", "if(n is null, known, if(c > 0, n, 0L)) as known", "if(n is null, base, n * log10(c + 0.1D)) as base",
-        "if(n is null, score, n * log10(c + 0.1D)) as score", "if(n is not null and c > 0 and rid = lead, 1L, 0L) as distinct_words",
+        "rid", "doc_id", "if(n is null, learnt, null) as learnt", "tokens", "if(n is null, known, if(c > 0, n, 0L)) as known",
+        "if(n is null, base, n * log10(c + 0.1D)) as base", "if(n is null, score, n * log10(c + 0.1D)) as score",
     )
-    text_row = scratch.put(each.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("learnt").alias("learnt"), F.max("tokens").alias("tokens"), F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("score").alias("score"), F.sum("distinct_words").alias("v")), "texts")
-    distinct = (text_row.agg(F.sum("v")).first()[0] or 0) + int((model.counts > 0).sum()) + (model.texts > 0)
-    total = float(np.log10(model.tokens + 0.1 * (distinct + 1)))
-    return text_row.select(
+    sums = [F.max("doc_id").alias("doc_id"), F.max("learnt").alias("learnt"), F.max("tokens").alias("tokens"), F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("score").alias("score")]
+    total = float(np.log10(model.tokens + 0.1 * (model.distinct + (model.texts > 0) + 1)))
+    return each.groupBy("rid").agg(*sums).select(
         F.col("doc_id").alias(key), (~F.col("learnt")).alias("held_out"), F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(model.tokens).cast("bigint").alias("train_tokens"),
         (F.col("base") - F.col("tokens") * F.lit(total)).alias("base_score"), "score",
     )

@@ -56,8 +56,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.query(table(spark, sf_dir, "documents"))
 
 
+def token_counts_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.tokenizer_query(table(spark, sf_dir, "documents"), tokenizer()[0])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_toxicity, op3_packing, op4_decontamination, op5_language, op6_html, op7_pii, op8_neighbours, op9_jaccard_join, op10_token_counts)}
+    return {f.__name__: f for f in (op1_lm_score, op2_toxicity, op3_packing, op4_decontamination, op5_language, op6_html, op7_pii, op8_neighbours, op9_jaccard_join, op10_token_counts, token_counts_tokenizer)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -18,10 +18,15 @@ from ..operators.shared import folder as shared_dir
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Spark's own bounds of an Arrow batch, and those that hold where a session has them.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m")}
+
+
 def lean(spark: SparkSession) -> None:
-    """Where the session has Spark's own rows a batch (10000), 1000: batches of whole texts are held in memory on both sides."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Smaller Arrow batches where the session has Spark's own bounds: a batch is held in memory several times, on both sides."""
+    for name, (usual, ours) in BATCH.items():
+        if spark.conf.get(name, usual) == usual:
+            spark.conf.set(name, ours)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -13,9 +13,10 @@ of equal sets, so exact copies cost one row. Three steps, all driven by |x & y|
    are scanned. The boundary minimises the summed cost of both. Sets that meet in a bucket form
    a star around its smallest member; the stars' components are the candidate groups.
 3. Exact check of each candidate group: overlaps are counted on the whole sets until the group
-   is known to be one component. Groups over GROUP sets are cut into blocks: exact components in
-   each block, then between the blocks' representatives, then every set outside the largest
-   component against all blocks. No pair is skipped, and no task holds more than a few blocks.
+   is known to be one component. Groups over GROUP sets or ELEMENTS shingles are cut into blocks: exact
+   components in each block, then between the blocks' representatives, then every set outside the largest
+   component against the blocks of sets that it shares a prefix shingle with. No linked pair is skipped, and no task holds
+   more than a few blocks.
 
 Shingles are 64-bit hashes; two of 10**9 shingles collide with probability 0.03.
 
@@ -44,9 +45,9 @@ from .components import components
 WORDS = 5
 #: Similarity as a fraction: links need DEN * intersection >= NUM * union.
 NUM, DEN = 80, 100
-GROUP = 512
+GROUP, ELEMENTS = 512, 1 << 20
 SMALL_ROWS = 1_000_000
-CHUNK, READ_BYTES = 1 << 19, 4 << 20
+CHUNK, READ_BYTES, OUT_ROWS = 1 << 19, 4 << 20, 1 << 18
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
 
 
@@ -231,13 +232,18 @@ def _signatures(boundary: int):
         return np.concatenate(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b, held = [], [], 0
         for batch in batches:
-            a, b = [], []
             for fp, n, ranked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), lists(batch.column(2))):
                 s = of(n, ranked.view(np.uint64))
                 a.append(np.full(len(s), fp, np.int64))
                 b.append(s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(b) if b else [], pa.int64()), pa.array(np.concatenate(a) if a else [], pa.int64())], names=["sig", "fp"])
+                held += len(s)
+                if held >= OUT_ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(b)), pa.array(np.concatenate(a))], names=["sig", "fp"])
+                    a, b, held = [], [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(b)), pa.array(np.concatenate(a))], names=["sig", "fp"])
 
     return run
 
@@ -298,30 +304,37 @@ def _check(pdf: pd.DataFrame) -> pd.DataFrame:
 PAIR = "a bigint, b bigint"
 
 
-def _large(members: DataFrame, scratch: Scratch, group: int) -> DataFrame:
-    """True links of candidate groups over `group` sets; members(root, fp, n, set, many). See step 3 above."""
-    blocks = F.ceil(F.col("many") / group).cast("bigint")
-    members = members.withColumn("block", F.pmod(F.xxhash64("fp"), blocks))
+def _large(members: DataFrame, ranked: DataFrame, scratch: Scratch, group: int) -> DataFrame:
+    """True links of candidate groups over `group` sets or ELEMENTS shingles; members(root, fp, n, set, many, weight), ranked(fp, n, ranked). See step 3 above."""
+    parts = lambda many, weight: F.greatest(F.ceil(F.col(many) / group), F.ceil(F.col(weight) / ELEMENTS)).cast("bigint")
+    members = members.withColumn("block", F.pmod(F.xxhash64("fp"), parts("many", "weight")))
     inside = scratch.put(members.groupBy("root", "block").applyInPandas(_check, PAIR), "inside")
-    nodes = members.select("fp", "root", "block")
+    nodes = members.select("fp", "root", "block", "n")
     own = components(inside.union(nodes.select("fp", F.col("fp").alias("b"))), scratch)
     heads = own.select("root").distinct().withColumnRenamed("root", "fp")
-    heads = members.join(heads, "fp", "left_semi")
-    width = heads.groupBy("root").count().withColumnRenamed("count", "wide")
-    piece = F.pmod(F.xxhash64("fp", F.lit(7)), F.ceil(F.col("wide") / group).cast("bigint"))
+    heads = members.drop("many", "weight").join(heads, "fp", "left_semi")
+    width = heads.groupBy("root").agg(F.count(F.lit(1)).alias("wide"), F.sum("n").alias("weight"))
+    piece = F.pmod(F.xxhash64("fp", F.lit(7)), parts("wide", "weight"))
     across = scratch.put(heads.join(width, "root").withColumn("piece", piece).groupBy("root", "piece").applyInPandas(_check, PAIR), "across")
     so_far = inside.union(across)
-    comp = scratch.put(components(so_far.union(nodes.select("fp", F.col("fp").alias("b"))), scratch).withColumnRenamed("root", "label").withColumnRenamed("node", "fp"), "labels")
-    tagged = members.join(comp, "fp")
-    weight = tagged.groupBy("root", "label").count()
-    main = weight.groupBy("root").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.sum("count").alias("all"), F.max("count").alias("top"))
-    main = main.where("all > top").withColumn("outside", F.col("all") - F.col("top"))
-    open_ = tagged.join(main, "root")
-    slices = F.ceil(F.col("outside") / group).cast("bigint")
-    old = open_.withColumn("new", F.lit(False)).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), slices - 1)))
-    out = open_.where("label != main").withColumn("new", F.lit(True)).withColumn("slice", F.pmod(F.xxhash64("fp", F.lit(3)), slices))
-    out = out.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
-    task = old.select("root", "block", "slice", "fp", "set", "new", "label").unionByName(out.select("root", "block", "slice", "fp", "set", "new", "label"))
+    label = components(so_far.union(nodes.select("fp", F.col("fp").alias("b"))), scratch).select(F.col("node").alias("fp"), F.col("root").alias("label"))
+    label = scratch.put(nodes.join(label, "fp"), "labels")
+    size = label.groupBy("root", "label").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("weight"))
+    main = size.groupBy("root").agg(F.max_by("label", F.struct("sets", "label")).alias("main"), F.sum("sets").alias("all"), F.max("sets").alias("top"))
+    rest = size.join(main.where("all > top"), "root").where("label != main").groupBy("root", "main").agg(F.sum("sets").alias("wide"), F.sum("weight").alias("weight"))
+    open_ = scratch.put(label.join(rest, "root"), "open")
+    if not open_.limit(1).count():
+        return so_far
+    # a set outside the largest component goes to the blocks where sets have a shingle of its prefix, together with those sets
+    turn = F.pmod(F.xxhash64("fp", F.lit(3)), parts("wide", "weight"))
+    some = small(open_.select("fp", "root", "block", F.when(F.col("label") != F.col("main"), turn).alias("slice")), SMALL_ROWS)
+    plain = (F.col("n") + 1 - F.ceil(F.col("n") * NUM / DEN)).cast("int")
+    held = scratch.put(ranked.join(some, "fp").select("root", "block", "slice", "fp", F.explode(F.slice("ranked", F.lit(1), plain)).alias("h")), "held")
+    asked = held.where("slice is not null").select("h", "root", "slice").distinct()
+    there = held.select("h", "root", "block").distinct()
+    old = held.select("h", "root", "block", "fp").join(asked, ["h", "root"]).select("root", "block", "slice", "fp").distinct().withColumn("new", F.lit(False))
+    new = held.where("slice is not null").select("h", "root", "slice", "fp").join(there, ["h", "root"]).select("root", "block", "slice", "fp").distinct().withColumn("new", F.lit(True))
+    task = old.union(new).join(label.select("fp", "label"), "fp").join(members.select("fp", "set"), "fp")
     return so_far.union(scratch.put(task.groupBy("root", "block", "slice").applyInPandas(_check, PAIR), "outside"))
 
 
@@ -384,12 +397,14 @@ def _links(sets: DataFrame, scratch: Scratch, group: int) -> DataFrame:
     hubs = buckets.groupBy("sig").agg(F.min("fp").alias("hub"), F.max("fp").alias("top")).where("hub != top")
     stars = buckets.join(hubs, "sig").where("fp != hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
     groups = scratch.put(components(stars, scratch), "groups")
-    many = groups.groupBy("root").agg(F.count(F.lit(1)).alias("many"))
-    members = groups.join(many, "root").withColumnRenamed("node", "fp").join(sets, "fp").select("root", "fp", "n", "set", "many")
-    members = scratch.put(members, "members")
-    links = members.where(F.col("many") <= group).groupBy("root").applyInPandas(_check, PAIR)
-    if members.where(F.col("many") > group).limit(1).count():
-        links = links.union(_large(members.where(F.col("many") > group), scratch, group))
+    groups = small(groups.withColumnRenamed("node", "fp"), SMALL_ROWS).join(ranked.select("fp", "n"), "fp")
+    size = groups.groupBy("root").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("weight"))
+    groups = scratch.put(groups.join(size, "root").withColumn("large", (F.col("many") > group) | (F.col("weight") > ELEMENTS) & (F.col("many") > 2)), "sized")
+    # where the groups can be broadcast, the sets are shuffled once, by group
+    members = sets.select("fp", "set").join(small(groups, SMALL_ROWS), "fp").select("root", "fp", "n", "set", "many", "weight", "large")
+    links = members.where("not large").groupBy("root").applyInPandas(_check, PAIR)
+    if groups.where("large").limit(1).count():
+        links = links.union(_large(scratch.put(members.where("large").drop("large"), "members"), ranked, scratch, group))
     return scratch.put(links, "links")
 
 

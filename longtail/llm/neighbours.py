@@ -3,9 +3,10 @@
 Centroids are fitted on a bounded sample (SAMPLE vectors) and every vector is indexed:
 in the list of its nearest centroid and, near a boundary, in those of further centroids
 up to (1 + REPLICATE) times as far, COPIES at most. A query searches every list whose
-centroid is at most (1 + PRUNE) times as far as the nearest, and LEAST_LISTS at least; all
-centroids are ranked (there are at most 2 * MAX_CENTROIDS), and no number caps the lists.
-Where the vectors have no structure that is every list.
+centroid is at most a ratio times as far as the nearest, and LEAST_LISTS at least; no number caps the
+lists. The ratio is the least that finds a share `recall` of the nearest neighbours of PROBES vectors of the sample
+within the sample (in the whole table neighbours are nearer, so the share is higher there). Centroids are found by a walk on a graph that links each with its nearest LINKS: it starts from evenly
+spread entries and goes on from every centroid that is near enough to be chosen itself.
 
 Equal vectors are one entry with the smallest ids that any answer can need, so a vector
 that a third of all rows share costs a row a task. Lists are dealt into bundles of about CAP
@@ -32,8 +33,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, sent
 
 SAMPLE, PER_LIST, MAX_CENTROIDS = 20_000, 128, 4096
-REPLICATE, COPIES = 0.12, 4
-PRUNE, LEAST_LISTS = 0.6, 8
+REPLICATE, COPIES = 0.005, 4
+RECALL, LEAST_LISTS = 0.99, 8
+PROBES = 512
+LINKS, WIDE = 16, 16
 CAP, ASK_CAP = 16_384, 65_536
 ASKED = 256
 
@@ -62,6 +65,59 @@ def fit(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarra
     return c
 
 
+def graph(c: np.ndarray) -> np.ndarray:
+    """Of each centroid, the LINKS nearest and the next one by number, which keeps the graph in one piece."""
+    near = [np.argsort(_distances(c[i : i + 512], c), axis=1, kind="stable")[:, 1 : LINKS + 1] for i in range(0, len(c), 512)]
+    return np.concatenate([np.concatenate(near), (np.arange(len(c))[:, None] + 1) % len(c)], axis=1)
+
+
+def walk(x: np.ndarray, c: np.ndarray, links: np.ndarray, ratio: float, wide: int) -> np.ndarray:
+    """Distances of each vector to the centroids that its walk meets, infinite elsewhere.
+
+    A walk goes on from all centroids at most (1 + ratio) times as far as the nearest met, and from the `wide` nearest.
+    """
+    d = np.full((len(x), len(c)), np.inf)
+    entries = np.unique(np.linspace(0, len(c) - 1, max(1, int(np.sqrt(len(c))))).astype(int))
+    d[:, entries] = _distances(x, c[entries])
+    gone = np.zeros(d.shape, bool)
+    wide = min(wide, len(c)) - 1
+    while True:
+        bound = np.maximum((1 + ratio) * d.min(1), np.partition(d, wide, axis=1)[:, wide])
+        rows, nodes = np.nonzero((d <= bound[:, None]) & ~gone & (d < np.inf))
+        if not len(rows):
+            return d
+        gone[rows, nodes] = True
+        to = np.unique((rows[:, None] * len(c) + links[nodes]).ravel())
+        rows, nodes = np.divmod(to[np.isinf(d.ravel()[to])], len(c))
+        for i in range(0, len(rows), 1 << 15):
+            r, n = rows[i : i + (1 << 15)], nodes[i : i + (1 << 15)]
+            d[r, n] = np.sqrt(((x[r] - c[n]) ** 2).sum(1))
+
+
+def ratio_for(x: np.ndarray, c: np.ndarray, links: np.ndarray, k: int, recall: float) -> float:
+    """The least distance ratio by which the sample's first vectors find a share `recall` of their k nearest others in the sample."""
+    needs = []
+    for i in range(0, min(PROBES, len(x)), 64):
+        q = x[i : i + 64]
+        d = _distances(q, x)
+        d[np.arange(len(q)), np.arange(i, i + len(q))] = np.inf
+        near = np.argsort(d, axis=1)[:, : min(k, len(x) - 1)]
+        dq = _distances(q, c)
+        dq /= np.maximum(dq.min(1, keepdims=True), 1e-12)
+        stored = _stored(x[near.ravel()], c, links)
+        found = np.where(stored, np.repeat(dq, near.shape[1], axis=0), np.inf)
+        needs.append(found.min(1) if found.size else np.empty(0))
+    needs = np.concatenate(needs) if needs else np.empty(0)
+    return float(np.quantile(needs, recall, method="higher")) if len(needs) else np.inf
+
+
+def _stored(x: np.ndarray, c: np.ndarray, links: np.ndarray) -> np.ndarray:
+    """Whether each vector is stored in each list."""
+    d = walk(x, c, links, REPLICATE, WIDE)
+    least = np.partition(d, min(COPIES, d.shape[1]) - 1, 1)[:, min(COPIES, d.shape[1]) - 1]
+    return (d <= (1 + REPLICATE) * d.min(1, keepdims=True)) & (d <= least[:, None]) & (d < np.inf)
+
+
 def _classes(dim: int, keep: int):
     """Equal vectors of a task as one row with their smallest ids."""
 
@@ -92,21 +148,18 @@ def _spread(get, query: bool, bundles: int, least: int):
     """(bundle, lists, vec, ids): where each vector is stored, or searched."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = get()
+        c, links, ratio = get()
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.float64).reshape(batch.num_rows, -1)
             for i in range(0, len(x), 256):
-                d = _distances(x[i : i + 256], c)
                 if query:
+                    d = walk(x[i : i + 256], c, links, ratio - 1, max(least, WIDE))
                     low = np.partition(d, min(least, d.shape[1]) - 1, 1)[:, min(least, d.shape[1]) - 1]
-                    at, to = np.nonzero(d <= np.maximum((1 + PRUNE) * d.min(1), low)[:, None])
+                    at, to = np.nonzero((d <= np.maximum(ratio * d.min(1), low)[:, None]) & (d < np.inf))
                 else:
-                    few = np.argpartition(d, min(COPIES, d.shape[1]) - 1, 1)[:, :COPIES]
-                    dd = np.take_along_axis(d, few, 1)
-                    at, s = np.nonzero(dd <= (1 + REPLICATE) * dd.min(1, keepdims=True))
-                    to = few[at, s]
+                    at, to = np.nonzero(_stored(x[i : i + 256], c, links))
                 by = np.lexsort((to, to % bundles, at))
                 at, to = at[by], to[by]
                 first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (to[1:] % bundles != to[:-1] % bundles)]))
@@ -172,8 +225,8 @@ def valid(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return v.where((F.size("v") > 0) & ~F.exists("v", bad) & F.exists("v", lambda x: x != 0))
 
 
-def search(vectors: DataFrame, queries, k: int = 10, key: str = "vec_id", vector: str = "embedding", least: int = LEAST_LISTS) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of every row for which `queries(id column)` holds."""
+def search(vectors: DataFrame, queries, k: int = 10, key: str = "vec_id", vector: str = "embedding", least: int = LEAST_LISTS, recall: float = RECALL) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest found of every row for which `queries(id column)` holds; recall: see the module's text."""
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     rows = valid(vectors, key, vector)
@@ -194,7 +247,8 @@ def search(vectors: DataFrame, queries, k: int = 10, key: str = "vec_id", vector
     sample = share.orderBy("order", "vec").limit(SAMPLE).collect()
     x = np.frombuffer(b"".join(bytes(r[0]) for r in sample), np.float64).reshape(len(sample), -1)
     c = fit(x, max(1, min(n // PER_LIST, MAX_CENTROIDS, len(x) // 4)))
-    centroids = sent(spark, c)
+    links = graph(c)
+    centroids = sent(spark, (c, links, ratio_for(x, c, links, k, recall)))
     bundles = max(1, min(len(c), -(-n * COPIES // CAP)))
     kinds = "bundle int, lists array<int>, vec binary, ids array<bigint>"
 

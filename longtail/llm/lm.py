@@ -26,6 +26,8 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -85,12 +87,14 @@ class Bilinear:
         ea, eb, z = np.exp(a - top_a), np.exp(b - top_b).T.copy(), np.empty((len(a), len(b)), np.float32)
         for i in range(0, len(a), 256):
             z[i : i + 256] = np.log(ea[i : i + 256] @ eb)
-        return a, b, z + top_a + top_b.T
+        z += top_a
+        z += top_b.T
+        return a, b, z
 
 
 def _rows(ids: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ids and their summed gradient rows."""
-    order = np.argsort(ids, kind="stable")
+    order = np.argsort(ids.astype(np.uint16), kind="stable")  # symbols are fewer than 2**16; of 16 bits this is a radix sort
     some = ids[order]
     first = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1]]))
     return some[first], np.add.reduceat(grad[order], first)
@@ -157,17 +161,23 @@ class Vocab:
         """The class of a word that is no symbol itself; endings beyond the frequent ones share the last class."""
         return self.endings.get(w[-2:], self.words + ENDINGS)
 
+    @cached_property
+    def of(self) -> np.ndarray:
+        """The symbol of each head word, and of the last class."""
+        return np.array([*(i if i < self.words else self.symbol(w) for w, i in self.head.items()), self.words + ENDINGS], np.int32)
+
     def ids(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the texts' tokens in a row: head index (-1 if none, -2 for the end), nearer and farther context, symbol."""
-        n, end, get, endings, rest = self.words, self.end, self.head.get, self.endings.get, self.words + ENDINGS
+        end, get, endings, rest, unknown = self.end, self.head.get, self.endings.get, self.words + ENDINGS, repeat(-1)
         total = sum(map(len, texts)) + len(texts)
         index, out = np.empty(total, np.int32), np.empty(total, np.int32)
         first = np.zeros(total, bool)
         at = 0
         for ws in texts:
             k = len(ws)
-            index[at : at + k] = out[at : at + k] = got = np.fromiter((get(w, -1) for w in ws), np.int32, k)
-            other = np.flatnonzero((got < 0) | (got >= n))
+            index[at : at + k] = got = np.fromiter(map(get, ws, unknown), np.int32, k)
+            out[at : at + k] = self.of[got]
+            other = np.flatnonzero(got < 0)
             out[at + other] = [endings(ws[j][-2:], rest) for j in other.tolist()]
             index[at + k], out[at + k], first[at] = -2, end, True
             at += k + 1
@@ -266,9 +276,14 @@ class Model:
     tokens: int
     texts: int
     distinct: int  # words of the training texts
-    table: tuple[np.ndarray, np.ndarray, np.ndarray]
+    net: Bilinear
     rare: DataFrame | None  # (h, c): training counts of the words outside the head
 
+    @cached_property
+    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Made where it is used: the parameters are a hundredth of its size."""
+        return self.net.tables()
+
     def log10(self, near: np.ndarray, far: np.ndarray, out: np.ndarray) -> np.ndarray:
         """log10 p(symbol | contexts)."""
         a, b, z = self.table
@@ -313,7 +328,7 @@ def fit(docs: DataFrame, train: Column, text: str = "text", words: int = WORDS,
     model = start.filled(got["model"] / tokens) if tokens else start
     counts = np.array([n for _, n in frequent], np.float64)
     rare = every.where(F.col("n") < least).select(F.xxhash64("word").alias("h"), F.col("n").alias("c"))
-    return Model(vocab, counts, got["symbols"], tokens, n_texts, distinct, model.tables(), rare)
+    return Model(vocab, counts, got["symbols"], tokens, n_texts, distinct, model, rare)
 
 
 SCORED = "h bigint, rid bigint, doc_id {}, learnt boolean, n bigint, tokens bigint, known bigint, base double, score double"

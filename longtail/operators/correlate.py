@@ -9,23 +9,27 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .encode import dictionary, hinted
+from .encode import dictionary, hinted, item_support
 from .mine import topk_closed
 
 #: Scores are kept as exp(RANGE * a + ln p) with a whole a, so that tiny tails can still be compared.
 RANGE = 1000
+#: Terms of a tail that are summed at once.
+TERMS = 4096
 
 
 def pattern_supports(patterns: DataFrame, tx: DataFrame) -> DataFrame:
     """patterns(items) distinct, with the support of each in the baskets.
 
-    A basket holds a pattern if as many of the pattern's items meet the basket as it has.
+    A pattern is looked for only in the baskets that hold its rarest item; an empty one has support 0.
     """
-    named = patterns.select("items").distinct().withColumn("__id", F.xxhash64(F.to_json(F.struct("items"))))
-    parts = named.select("__id", F.size("items").alias("__n"), F.explode("items").alias("item"))
-    wanted = tx.select("tid", F.explode("items").alias("item")).join(parts, "item")
-    full = wanted.groupBy("__id", "tid", "__n").agg(F.count(F.lit(1)).alias("__m")).where("__m = __n")
-    return named.join(full.groupBy("__id").agg(F.count(F.lit(1)).alias("full_support")), "__id", "left").select("items", F.coalesce("full_support", F.lit(0)).alias("full_support"))
+    named = patterns.select(F.col("items").alias("pattern")).distinct().withColumn("__id", F.xxhash64(F.to_json(F.struct("pattern"))))
+    each = named.select("__id", F.explode("pattern").alias("item")).join(hinted(item_support(tx)), "item")
+    rarest = each.groupBy("__id").agg(F.min(F.struct("support", "item"))["item"].alias("item"))
+    wanted = named.join(rarest, "__id")
+    held = tx.select("items", F.explode("items").alias("item")).join(hinted(wanted), "item").where(F.size(F.array_except("pattern", "items")) == 0)
+    found = held.groupBy("__id").agg(F.count(F.lit(1)).alias("full_support"))
+    return named.join(found, "__id", "left").select(F.col("pattern").alias("items"), F.coalesce("full_support", F.lit(0)).alias("full_support"))
 
 
 def contingency(support_with: Column, support: Column, item_support: Column, n: Column) -> list[Column]:
@@ -41,10 +45,22 @@ def _tail(a: int, b: int, c: int, d: int) -> tuple[int, float, float]:
     fixed = lf(r + 1) + lf(s + 1) + lf(m + 1) + lf(n - m + 1) - lf(n + 1)
     ln = lambda x: fixed - lf(x + 1) - lf(r - x + 1) - lf(m - x + 1) - lf(s - m + x + 1)
     top = min(m, r)
-    terms = np.array([ln(x) for x in range(a, top + 1)])
-    peak = terms.max()
-    log_p = float(peak + np.log(np.exp(terms - peak).sum()))
-    factor = 0 if n == 0 or a < r * m // n else round(-float(terms[0]) / RANGE)
+    log_p, x = -math.inf, a
+    while x <= top:
+        last = min(top, x + TERMS - 1)
+        if x == a and last == top:
+            terms = np.array([ln(y) for y in range(x, last + 1)])
+        else:
+            y = np.arange(x, last, dtype=np.float64)
+            terms = ln(x) + np.concatenate([[0.0], np.cumsum(np.log((r - y) * (m - y)) - np.log((y + 1) * (s - m + y + 1)))])
+        peak = terms.max()
+        log_p = float(np.logaddexp(log_p, peak + np.log(np.exp(terms - peak).sum())))
+        # each further term is a smaller share of its predecessor: once a geometric series of them adds nothing, stop
+        share = (r - last) * (m - last) / ((last + 1) * (s - m + last + 1))
+        if 0 < share < 1 and terms[-1] + math.log(share / (1 - share)) < log_p - 40:
+            break
+        x = last + 1
+    factor = 0 if n == 0 or a < r * m // n else round(-ln(a) / RANGE)
     return factor, float(np.exp(np.minimum(RANGE * factor + log_p, 700.0))), min(log_p, 0.0)
 
 

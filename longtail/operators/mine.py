@@ -117,6 +117,14 @@ def closed_itemsets(tx: DataFrame, minsup: int, groups: int | None = None, cells
 
 #: Bounds are broadcast for dictionaries of at most this many items; beyond, the kernel uses those that it finds itself.
 BOUND_ITEMS = 1_000_000
+#: The pairs that give bounds are made only where baskets have at most this many for each of their items, on the whole.
+PAIRS_AN_ITEM = 256
+
+
+def _few_pairs(encoded: DataFrame) -> bool:
+    size = F.size("ranks").cast("bigint")
+    pairs, items = encoded.agg(F.sum(size * (size - 1) / 2), F.sum(size)).first()
+    return (pairs or 0) <= PAIRS_AN_ITEM * (items or 0)
 
 
 def topk_closed(tx: DataFrame, k: int, minsup: int, groups: int | None = None, prune: bool = True, include_universal_items: bool = True, cells: int = TASK_CELLS) -> DataFrame:
@@ -127,7 +135,8 @@ def topk_closed(tx: DataFrame, k: int, minsup: int, groups: int | None = None, p
     """
     items = put(dictionary(tx, minsup))
     encoded = put(encode(tx, items))
-    bounds = kth_bounds(items, pair_support(encoded, minsup), k, minsup) if prune and items.limit(BOUND_ITEMS + 1).count() <= BOUND_ITEMS else None
+    prune = prune and items.limit(BOUND_ITEMS + 1).count() <= BOUND_ITEMS and _few_pairs(encoded)
+    bounds = kth_bounds(items, pair_support(encoded, minsup), k, minsup) if prune else None
     found = decode(_sets(encoded, minsup, groups, k, bounds, cells), items)
     out = top_k(found, k, repeats=False)
     if not include_universal_items:

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -135,3 +136,37 @@ def test_cli_and_contingency(spark, tmp_path, capsys):
     g = tmp_path / "c.txt"
     g.write_text("10\t4\tx\n")
     assert read_contingency(spark, str(g)).first().support_with == 4
+
+
+def test_tail_stops_where_terms_add_nothing():
+
+
+    def whole(a, b, c, d):
+        r, s, m = a + b, c + d, a + c
+        lf = math.lgamma
+        fixed = lf(r + 1) + lf(s + 1) + lf(m + 1) + lf(r + s - m + 1) - lf(r + s + 1)
+        t = np.array([fixed - lf(x + 1) - lf(r - x + 1) - lf(m - x + 1) - lf(s - m + x + 1) for x in range(a, min(m, r) + 1)])
+        return t.max() + math.log(np.exp(t - t.max()).sum())
+
+    for table in ((3, 4, 5, 60), (5000, 20_000, 25_000, 900_000), (20_000, 30_000, 40_000, 50_000), (0, 30_000, 20_000, 60_000), (9000, 0, 0, 9000)):
+        assert abs(correlate._tail(*table)[2] - min(0.0, whole(*table))) <= 1e-7 * max(1.0, abs(whole(*table)))
+
+
+def test_pattern_supports_by_the_rarest_item(spark):
+    rng = np.random.default_rng(4)
+    baskets = [sorted({"all", *rng.choice(list("abcdefgh"), int(rng.integers(1, 6)))}) for _ in range(200)]
+    tx = spark.createDataFrame(list(enumerate(baskets)), "tid bigint, items array<string>")
+    patterns = [["all"], ["a", "b"], ["all", "c", "h"], ["a", "zz"], ["zz"], list("abcdefgh"), ["d"]]
+    got = {tuple(r["items"]): r.full_support for r in correlate.pattern_supports(spark.createDataFrame([(p,) for p in patterns], "items array<string>"), tx).collect()}
+    assert got == {tuple(p): sum(set(p) <= set(b) for b in baskets) for p in patterns}
+
+
+def test_a_basket_of_ten_thousand_items(spark):
+    """Its pairs are not made; the sets are those of the baskets without it, each with it."""
+    rows = [(0, [f"i{n:05}" for n in range(10_000)]), (1, ["i00001", "i00002"]), (2, ["i00001", "i00002", "i00003"])]
+    tx = spark.createDataFrame(rows, "tid bigint, items array<string>")
+    got = {(r.item, r["rank"]): (r.support, r["items"]) for r in mine.topk_closed(tx, 2, 2).collect()}
+    assert got == {("i00001", 1): (3, ["i00001", "i00002"]), ("i00002", 1): (3, ["i00001", "i00002"]), ("i00003", 1): (2, ["i00001", "i00002", "i00003"]),
+                   ("i00001", 2): (2, ["i00001", "i00002", "i00003"]), ("i00002", 2): (2, ["i00001", "i00002", "i00003"])}
+    few = spark.createDataFrame([(list(range(600)),)], "ranks array<int>")
+    assert not mine._few_pairs(few) and mine._few_pairs(spark.createDataFrame([(list(range(500)),)], "ranks array<int>"))

@@ -48,7 +48,7 @@ PLAIN, BOILER, ARTICLE = 0, 1, 2
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)(?:>|\Z)|[^<]+|<""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|$)""", re.I)
-RAW = frozenset("script style textarea title noscript template iframe svg math select button object audio video canvas".split())
+RAW = frozenset("script style textarea title noscript template iframe svg select button".split())
 BLOCKS = frozenset("html head body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul option label".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILER_TAGS = frozenset("nav header footer aside form head dialog menu search".split())
@@ -58,12 +58,14 @@ BOILER_NAMES = re.compile(
     r"foot|footer|header|masthead|topbar|cookies?|consent|gdpr|notices?|notification\w*|alerts?|newsletter|subscri\w*|signup|popup|modal|overlay|social|share|sharing|related|recommend\w*|"
     r"widgets?|toolbar|pagination|pager|login|search|copyright|legal|disclaimer|skip)(?:[^a-z]|$)"
 )
+#: Names that an article gives sections of its own as well: there they don't count.
+ARTICLE_NAMES = re.compile(r"(?:^|[^a-z])(?:discussion|legal|related-work|notices?|side)(?=[^a-z]|$)")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 SPACE = re.compile(r"\s+")
 
 
-def _is_boiler(tag: str, attributes: str) -> bool:
+def _is_boiler(tag: str, attributes: str, in_article: bool = False) -> bool:
     if tag in BOILER_TAGS:
         return True
     if "=" not in attributes and "hidden" not in attributes:
@@ -76,8 +78,10 @@ def _is_boiler(tag: str, attributes: str) -> bool:
             return True
         if name == "role" and value.lower() in BOILER_ROLES:
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and BOILER_NAMES.search(CAMEL.sub("-", value).lower()):
-            return True
+        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
+            named = CAMEL.sub("-", value).lower()
+            if BOILER_NAMES.search(ARTICLE_NAMES.sub(" ", named) if in_article else named):
+                return True
         if name == "class" and tag == "article" and re.search(r"\bcomment", value.lower()):
             return True
     return False
@@ -137,7 +141,7 @@ def lines(page: str) -> list[tuple[str, int]]:
         if stack and (stack[-1][0] == "p" or tag == "li" and stack[-1][0] == "li"):
             _, boiler, in_article, in_main = stack.pop()
         stack.append((tag, boiler, in_article, in_main))
-        boiler += _is_boiler(tag, attributes)
+        boiler += _is_boiler(tag, attributes, in_article)
         if not boiler:
             in_article |= tag == "article"
             in_main |= tag == "main"

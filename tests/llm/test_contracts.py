@@ -196,3 +196,10 @@ def test_a_half_done_commit_is_made_whole(spark, tmp_path):
     r.has = has
     assert not r.commit("b", changes)
     assert Counter(map(tuple, r.totals().collect())) == Counter([("a", "en", "v", 1, 5)])
+
+
+def test_html_keeps_sections_and_formulas_of_an_article():
+    page = '<article><p>The formula <math>x</math> holds</p><section id="discussion"><p>Kept</p></section><div class="related-work">Kept too</div><div class="legal-analysis">Also</div><div class="related-posts">Gone</div></article><div id="legal">Out</div>'
+    got = html.lines(page)
+    assert [t for t, p in got if p == html.ARTICLE] == ["The formula x holds", "Kept", "Kept too", "Also"]
+    assert [t for t, p in got if p == html.BOILER] == ["Gone", "Out"]

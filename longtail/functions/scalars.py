@@ -150,6 +150,11 @@ def difference(a: Column, b: Column) -> Column:
     return F.array_sort(F.array_except(a, b))
 
 
+def complement(a: Column, low: Column, high: Column) -> Column:
+    """The numbers from low to high that `a` lacks."""
+    return F.array_except(int_range(low, high), a)
+
+
 # time
 def duration(seconds: Column) -> Column:
     """h:mm:ss."""

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.special import udf
 from .encode import dictionary, hinted, item_support
 from .mine import topk_closed
 
@@ -80,6 +81,32 @@ def fisher(a: Column, b: Column, c: Column, d: Column) -> Column:
     return score(a, b, c, d)
 
 
+def log_combination(n: Column, k: Column) -> Column:
+    """ln of n over k."""
+    lf = udf("log_factorial")
+    return lf(n.cast("double")) - lf(k.cast("double")) - lf((n - k).cast("double"))
+
+
+def hypergeometric(support_with: Column, support: Column, item_support: Column, n: Column, factor: Column | None = None) -> Column:
+    """exp(RANGE * factor) times the chance that exactly support_with of a pattern's `support` baskets hold the item; without a factor that chance."""
+    point = log_combination(item_support, support_with) + log_combination(n - item_support, support - support_with) - log_combination(n, support)
+    return F.exp(point if factor is None else RANGE * factor + point)
+
+
+def least_log_p(support: Column, item_support: Column, n: Column) -> Column:
+    """ln of the smallest tail that a pattern of this support can reach with the item: all baskets of the rarer one hold the other.
+
+    A pattern whose least tail is above an item's c-th best one can't be among the c, whatever its support with the item.
+    """
+    few, many = F.least(support, item_support), F.greatest(support, item_support)
+    return log_combination(many, few) - log_combination(n, few)
+
+
+def scored_lines(scored: DataFrame) -> DataFrame:
+    """`a^^r \\t line` of scored contingency lines."""
+    return scored.select(F.concat(F.col("a").cast("string"), F.lit("^^"), F.col("r").cast("string"), F.lit("\t"), F.col("line")).alias("value"))
+
+
 def score_contingency(lines: DataFrame, n: int, item_support: int) -> DataFrame:
     """lines(support, support_with) with a, r and log_p of their tables against an item, best first."""
     table = contingency(F.col("support_with"), F.col("support"), F.lit(item_support), F.lit(n))

@@ -29,6 +29,11 @@ def dictionary(tx: DataFrame, minsup: int) -> DataFrame:
     return supports.withColumn("within", within).join(before, "support").select("item", "support", (F.col("before") + F.col("within") - 1).cast("int").alias("rank"))
 
 
+def over_filter(items: DataFrame, minsup: int) -> DataFrame:
+    """The dictionary at a higher minimum support; ranks stay as they were, since infrequent items have the last ones."""
+    return items.where(F.col("support") >= minsup)
+
+
 def hinted(df: DataFrame, rows: int = BROADCAST_ITEMS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 

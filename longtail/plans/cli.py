@@ -49,13 +49,19 @@ def result(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, str]:
     return best, "json" if a.J else "text"
 
 
+def summary(rows: DataFrame, a: argparse.Namespace) -> dict:
+    """The options of the run, and the lengths of its patterns where the rows have any."""
+    lengths = sinks.sizes(rows).first().asDict() if "items" in rows.columns else {}
+    return {"input": a.input, "k": a.k, "c": a.c, "minsup": a.minsup, "groups": a.g, **{x: lengths[x] for x in ("total_length", "average_length") if lengths}}
+
+
 def main(args: list[str] | None = None) -> None:
     a = parser().parse_args(args)
     spark = SparkSession.builder.appName("longtail").getOrCreate()
     start = time.time()
     rows, form = result(spark, a)
     rows = rows.cache()
-    n = rows.count()
+    n, mined = rows.count(), time.time()
     if a.b:
         sinks.write(rows, None, "noop")
     elif a.output:
@@ -66,7 +72,7 @@ def main(args: list[str] | None = None) -> None:
         lines = {"text": sinks.text_lines, "json": sinks.json_lines, "correlated": sinks.correlated_lines}[form]
         for r in lines(rows).toLocalIterator():
             print(r["value"])
-    print(json.dumps({"patterns": n, "seconds": round(time.time() - start, 3), "k": a.k, "minsup": a.minsup}), file=sys.stderr)
+    print(json.dumps(summary(rows, a) | {"patterns": n, "mining_seconds": round(mined - start, 3), "seconds": round(time.time() - start, 3)}), file=sys.stderr)
 
 
 if __name__ == "__main__":

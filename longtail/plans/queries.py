@@ -183,8 +183,13 @@ o as (select unnest(items) as item, items, support from c), r as (select *, row_
 k as (select item, rank, support, items from r where rank <= {K})"""
 
 
+def minsup_sql() -> str:
+    """What _minsup gives for n baskets."""
+    return f"greatest(1, floor(n * {SHARE}::double)::bigint)"
+
+
 def oracle_sql() -> dict[str, str]:
-    m = f"greatest(1, floor(n * {SHARE}::double)::bigint)"
+    m = minsup_sql()
     joined = "array_to_string(items, ' ') as items"
     renamed = "with t as ({b}), n as (select count(distinct tid) as n from t), s as (select item, count(*)::bigint as support from t group by item having count(*) >= (select {m} from n)) select item, support, (row_number() over (order by support desc, item) - 1)::int as rank from s"
     part_baskets = "select distinct l_orderkey as tid, l_partkey as item from lineitem where l_orderkey is not null and l_partkey is not null"

@@ -38,9 +38,18 @@ def from_long(df: DataFrame, tid: str, item: str) -> DataFrame:
 
 def read_group(spark: SparkSession, path: str, dictionary: DataFrame, group: int, groups: int) -> DataFrame:
     """The baskets of a file, renamed by dictionary(item, rank), that hold an item of one group; infrequent items are dropped."""
+    return _of_group(read_transactions(spark, path), dictionary, group, groups)
+
+
+def read_group_parquet(spark: SparkSession, path: str, dictionary: DataFrame, group: int, groups: int) -> DataFrame:
+    """The same from baskets that text_to_parquet wrote."""
+    return _of_group(spark.read.parquet(path), dictionary, group, groups)
+
+
+def _of_group(tx: DataFrame, dictionary: DataFrame, group: int, groups: int) -> DataFrame:
     from ..operators.encode import encode, in_group
 
-    return encode(read_transactions(spark, path), dictionary).where(F.exists("ranks", lambda r: in_group(r, group, groups)))
+    return encode(tx, dictionary).where(F.exists("ranks", lambda r: in_group(r, group, groups)))
 
 
 def read_item_k(spark: SparkSession, path: str) -> DataFrame:
@@ -55,8 +64,9 @@ def read_contingency(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.trim("value") != "").select(F.col("value").alias("line"), parts[0].cast("bigint").alias("support"), parts[1].cast("bigint").alias("support_with"))
 
 
-def text_to_parquet(spark: SparkSession, source: str, target: str) -> None:
-    read_transactions(spark, source).write.parquet(target)
+def text_to_parquet(spark: SparkSession, source: str, target: str, ids: str = "int", overwrite: bool = False) -> None:
+    """The baskets of a text file as parquet; an existing target is an error unless overwrite is set."""
+    read_transactions(spark, source, ids).write.mode("overwrite" if overwrite else "errorifexists").parquet(target)
 
 
 def items_text(items: Column | str) -> Column:

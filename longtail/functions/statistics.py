@@ -1,4 +1,7 @@
-"""Descriptive statistics: aggregate columns, and DataFrame functions where an order or a second pass is needed."""
+"""Descriptive statistics: aggregate columns, and DataFrame functions where an order or a second pass is needed.
+
+A statistic that would divide by 0 (too few values, no spread, no weight) is null, in ANSI mode too.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +9,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _ratio(a, b) -> Column:
+    return F.try_divide(a, b)
+
+
+def _corr(x: str, y: str) -> Column:
+    """Of the rows where both are known; null where one of them is constant."""
+    of = lambda c, other: F.stddev_samp(F.when(F.col(other).isNotNull(), F.col(c)))
+    return _ratio(F.covar_samp(x, y), of(x, y) * of(y, x))
+
+
 def geometric_mean(x: str) -> Column:
     return F.exp(F.avg(F.ln(x)))
 
 
 def harmonic_mean(x: str) -> Column:
-    return F.count(x) / F.sum(1 / F.col(x))
+    return _ratio(F.count(x), sum_of_inversions(x))
 
 
 def rms(x: str) -> Column:
@@ -35,7 +48,8 @@ def sum_of_squared_deviations(x: str) -> Column:
 
 
 def sum_of_inversions(x: str) -> Column:
-    return F.sum(1 / F.col(x))
+    """A value of 0 has none and is left out."""
+    return F.sum(_ratio(F.lit(1.0), F.col(x)))
 
 
 def sum_of_logarithms(x: str) -> Column:
@@ -58,7 +72,7 @@ def quantiles(x: str, phis: list[float]) -> Column:
 
 
 def standard_error(x: str) -> Column:
-    return F.sqrt(F.var_samp(x) / F.count(x))
+    return F.sqrt(_ratio(F.var_samp(x), F.count(x)))
 
 
 def excess_kurtosis(x: str) -> Column:
@@ -68,43 +82,43 @@ def excess_kurtosis(x: str) -> Column:
 def sample_skew(x: str) -> Column:
     """Bias-corrected."""
     n = F.count(x)
-    return F.skewness(x) * F.sqrt(n * (n - 1)) / (n - 2)
+    return _ratio(F.skewness(x) * F.sqrt(n * (n - 1)), n - 2)
 
 
 def sample_skew_standard_error(n: Column) -> Column:
-    return F.sqrt(6.0 * n * (n - 1) / ((n - 2) * (n + 1) * (n + 3)))
+    return F.sqrt(_ratio(6.0 * n * (n - 1), (n - 2) * (n + 1) * (n + 3)))
 
 
 def sample_kurtosis(x: str) -> Column:
     """Bias-corrected, excess."""
     n = F.count(x)
-    return (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(x) + 6)
+    return _ratio((n - 1) * ((n + 1) * F.kurtosis(x) + 6), (n - 2) * (n - 3))
 
 
 def sample_kurtosis_standard_error(n: Column) -> Column:
-    return F.sqrt(24.0 * n * (n - 1) * (n - 1) / ((n - 3) * (n - 2) * (n + 3) * (n + 5)))
+    return F.sqrt(_ratio(24.0 * n * (n - 1) * (n - 1), (n - 3) * (n - 2) * (n + 3) * (n + 5)))
 
 
 def sample_standard_deviation(x: str) -> Column:
     """The sample deviation times 1 + 1 / (4 (n - 1)), the usual approximation to the unbiased factor."""
-    return F.stddev_samp(x) * (1 + 1 / (4.0 * (F.count(x) - 1)))
+    return F.stddev_samp(x) * (1 + _ratio(F.lit(1.0), 4.0 * (F.count(x) - 1)))
 
 
 def weighted_mean(x: str, w: str) -> Column:
-    return F.sum(F.col(x) * F.col(w)) / F.sum(w)
+    return _ratio(F.sum(F.col(x) * F.col(w)), F.sum(w))
 
 
 def sample_weighted_variance(x: str, w: str) -> Column:
     sw, swx, swxx = F.sum(w), F.sum(F.col(w) * F.col(x)), F.sum(F.col(w) * F.col(x) * F.col(x))
-    return (swxx - swx * swx / sw) / (sw - 1)
+    return _ratio(swxx - _ratio(swx * swx, sw), sw - 1)
 
 
 def pooled_mean(n1: Column, m1: Column, n2: Column, m2: Column) -> Column:
-    return (n1 * m1 + n2 * m2) / (n1 + n2)
+    return _ratio(n1 * m1 + n2 * m2, n1 + n2)
 
 
 def pooled_variance(n1: Column, v1: Column, n2: Column, v2: Column) -> Column:
-    return (n1 * v1 + n2 * v2) / (n1 + n2)
+    return _ratio(n1 * v1 + n2 * v2, n1 + n2)
 
 
 def merged(parts: DataFrame, by: list[str]) -> DataFrame:
@@ -147,26 +161,26 @@ def rank_order(df: DataFrame, by: list[str], x: str, out: str = "mid_rank") -> D
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     both = rank_order(rank_order(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), by, x, "__x"), by, y, "__y")
-    return both.groupBy(*by).agg(F.corr("__x", "__y").alias("spearman"))
+    return both.groupBy(*by).agg(_corr("__x", "__y").alias("spearman"))
 
 
 def auto_correlation(df: DataFrame, by: list[str], order: str, x: str, lag: int) -> DataFrame:
     """Mean of the lagged products of deviations over n - lag, by the variance."""
     part = ", ".join(f"`{b}`" for b in by)
     moved = df.selectExpr("*", f"lag(`{x}`, {lag}) over (partition by {part} order by `{order}`) as __l", f"avg(`{x}`) over (partition by {part}) as __m")
-    return moved.groupBy(*by).agg((F.avg((F.col(x) - F.col("__m")) * (F.col("__l") - F.col("__m"))) / F.var_pop(x)).alias("auto_correlation"))
+    return moved.groupBy(*by).agg(_ratio(F.avg((F.col(x) - F.col("__m")) * (F.col("__l") - F.col("__m"))), F.var_pop(x)).alias("auto_correlation"))
 
 
 def durbin_watson(df: DataFrame, by: list[str], order: str, x: str) -> DataFrame:
     part = ", ".join(f"`{b}`" for b in by)
     moved = df.selectExpr("*", f"lag(`{x}`) over (partition by {part} order by `{order}`) as __l")
-    return moved.groupBy(*by).agg((F.sum(F.pow(F.col(x) - F.col("__l"), 2)) / F.sum(F.pow(F.col(x), 2))).alias("durbin_watson"))
+    return moved.groupBy(*by).agg(_ratio(F.sum(F.pow(F.col(x) - F.col("__l"), 2)), F.sum(F.pow(F.col(x), 2))).alias("durbin_watson"))
 
 
 def standardize(df: DataFrame, by: list[str], x: str, out: str = "z") -> DataFrame:
     """df with (x - mean) / (sqrt(n) * population deviation) within `by`."""
     s = df.groupBy(*by).agg(F.avg(x).alias("__m"), (F.sqrt(F.count(x)) * F.stddev_pop(x)).alias("__s"))
-    return df.join(s, by).withColumn(out, (F.col(x) - F.col("__m")) / F.col("__s")).drop("__m", "__s")
+    return df.join(s, by).withColumn(out, _ratio(F.col(x) - F.col("__m"), F.col("__s"))).drop("__m", "__s")
 
 
 def split(x: str, splitters: list[float]) -> Column:
@@ -201,6 +215,6 @@ def one_way(df: DataFrame, n: str) -> DataFrame:
 
 def covariance_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, covariance, correlation) of all pairs; a correlation with a constant column is 0."""
-    one = df.agg(*(f(x, y).alias(f"{k}|{x}|{y}") for x in columns for y in columns for k, f in (("v", F.covar_samp), ("r", F.corr))))
+    one = df.agg(*(f(x, y).alias(f"{k}|{x}|{y}") for x in columns for y in columns for k, f in (("v", F.covar_samp), ("r", _corr))))
     cells = [F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col(f"v|{x}|{y}").alias("covariance"), F.coalesce(F.nanvl(F.col(f"r|{x}|{y}"), F.lit(0.0)), F.lit(0.0)).alias("correlation")) for x in columns for y in columns]
     return one.select(F.explode(F.array(*cells)).alias("c")).select("c.*")

@@ -33,3 +33,24 @@ def test_ordered_statistics(spark):
     assert sorted(r.mid_rank for r in statistics.rank_order(df, ["k"], "x").collect()) == [1.5, 1.5, 3.0, 4.0, 5.0]
     assert statistics.durbin_watson(df, ["k"], "t", "x").first().durbin_watson == (16 + 9 + 9 + 64) / (25 + 1 + 16 + 1 + 81)
     assert {r.a + r.b: r.correlation for r in statistics.covariance_matrix(df, ["x", "t"]).collect()}["xx"] == 1.0
+
+
+def test_no_spread_gives_null(spark):
+    """One value, a constant column, weights of 0: null, no division by zero."""
+    df = spark.createDataFrame([("one", 0, 3.0, 0.0), ("same", 0, 2.0, 1.0), ("same", 1, 2.0, 4.0), ("gap", 0, 1.0, None), ("gap", 1, 2.0, 1.0), ("gap", 2, 4.0, 3.0)], "k string, t int, x double, w double")
+    rows = {r.k: r for r in df.groupBy("k").agg(statistics.sample_skew("x").alias("skew"), statistics.sample_kurtosis("x").alias("kurtosis"), statistics.weighted_mean("x", "w").alias("mean"), statistics.harmonic_mean("w").alias("harmonic"), statistics.sample_standard_deviation("x").alias("sd")).collect()}
+    assert rows["one"][1:] == (None,) * 5 and rows["same"]["mean"] == 2.0 and rows["same"].sd == 0.0
+    assert {r.k: r.auto_correlation for r in statistics.auto_correlation(df, ["k"], "t", "x", 1).collect()}["same"] is None
+    spearman = {r.k: r.spearman for r in statistics.spearman(df, ["k"], "x", "w").collect()}
+    assert spearman["same"] is None and math.isclose(spearman["gap"], 1.0)
+    cells = {(r.a, r.b): r for r in statistics.covariance_matrix(df.where("k = 'same'"), ["x", "w"]).collect()}
+    assert cells["x", "w"].correlation == 0.0 and math.isclose(cells["w", "w"].correlation, 1.0)
+    gap = {(r.a, r.b): r.correlation for r in statistics.covariance_matrix(df.where("k = 'gap'"), ["x", "w"]).collect()}
+    assert math.isclose(gap["x", "w"], 1.0)
+    assert {r.z for r in statistics.standardize(df.where("k = 'same'"), ["k"], "x").collect()} == {None}
+
+
+def test_udf_of_nulls_and_repeats(spark):
+    df = spark.createDataFrame([(4.0, 2.0), (4.0, 2.0), (None, 2.0), (5.0, None), (5.0, 2.0)], "n double, k double")
+    assert [r[0] for r in df.select(special.udf("binomial")(F.col("n"), F.col("k"))).collect()] == [6.0, 6.0, None, None, 10.0]
+    assert df.limit(0).select(special.udf("erf")("n")).count() == 0

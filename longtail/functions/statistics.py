@@ -1,6 +1,7 @@
 """Descriptive statistics: aggregate columns, and DataFrame functions where an order or a second pass is needed.
 
 A statistic that would divide by 0 (too few values, no spread, no weight) is null, in ANSI mode too.
+Counts and sums are multiplied as doubles: a product of four counts exceeds a long from 55,109 rows on.
 """
 
 from __future__ import annotations
@@ -13,6 +14,10 @@ def _ratio(a, b) -> Column:
     return F.try_divide(a, b)
 
 
+def _count(x: str) -> Column:
+    return F.count(x).cast("double")
+
+
 def _corr(x: str, y: str) -> Column:
     """Of the rows where both are known; null where one of them is constant."""
     of = lambda c, other: F.stddev_samp(F.when(F.col(other).isNotNull(), F.col(c)))
@@ -81,21 +86,23 @@ def excess_kurtosis(x: str) -> Column:
 
 def sample_skew(x: str) -> Column:
     """Bias-corrected."""
-    n = F.count(x)
+    n = _count(x)
     return _ratio(F.skewness(x) * F.sqrt(n * (n - 1)), n - 2)
 
 
 def sample_skew_standard_error(n: Column) -> Column:
+    n = n.cast("double")
     return F.sqrt(_ratio(6.0 * n * (n - 1), (n - 2) * (n + 1) * (n + 3)))
 
 
 def sample_kurtosis(x: str) -> Column:
     """Bias-corrected, excess."""
-    n = F.count(x)
+    n = _count(x)
     return _ratio((n - 1) * ((n + 1) * F.kurtosis(x) + 6), (n - 2) * (n - 3))
 
 
 def sample_kurtosis_standard_error(n: Column) -> Column:
+    n = n.cast("double")
     return F.sqrt(_ratio(24.0 * n * (n - 1) * (n - 1), (n - 3) * (n - 2) * (n + 3) * (n + 5)))
 
 
@@ -109,7 +116,8 @@ def weighted_mean(x: str, w: str) -> Column:
 
 
 def sample_weighted_variance(x: str, w: str) -> Column:
-    sw, swx, swxx = F.sum(w), F.sum(F.col(w) * F.col(x)), F.sum(F.col(w) * F.col(x) * F.col(x))
+    wx = F.col(w).cast("double") * F.col(x)
+    sw, swx, swxx = F.sum(w), F.sum(wx), F.sum(wx * F.col(x))
     return _ratio(swxx - _ratio(swx * swx, sw), sw - 1)
 
 
@@ -194,7 +202,7 @@ def _expected(df: DataFrame, row: str, column: str, n: str) -> DataFrame:
     total = df.agg(F.sum(n).alias("__t"))
     # a cell for each row and column of the table itself
     full = rows.join(columns).join(F.broadcast(total))
-    return full.join(df.groupBy(row, column).agg(F.sum(n).alias("__o")), [row, column], "left").select(F.coalesce("__o", F.lit(0)).alias("o"), (F.col("__a") * F.col("__b") / F.col("__t")).alias("e"))
+    return full.join(df.groupBy(row, column).agg(F.sum(n).alias("__o")), [row, column], "left").select(F.coalesce("__o", F.lit(0)).alias("o"), (F.col("__a").cast("double") * F.col("__b") / F.col("__t")).alias("e"))
 
 
 def chi_square(df: DataFrame, row: str, column: str, n: str) -> DataFrame:

@@ -3,6 +3,7 @@ import math
 from pyspark.sql import functions as F
 
 from longtail.functions import scalars, special, statistics
+from longtail.plans import function_queries
 
 
 def test_special():
@@ -54,3 +55,25 @@ def test_udf_of_nulls_and_repeats(spark):
     df = spark.createDataFrame([(4.0, 2.0), (4.0, 2.0), (None, 2.0), (5.0, None), (5.0, 2.0)], "n double, k double")
     assert [r[0] for r in df.select(special.udf("binomial")(F.col("n"), F.col("k"))).collect()] == [6.0, 6.0, None, None, 10.0]
     assert df.limit(0).select(special.udf("erf")("n")).count() == 0
+
+
+def test_products_of_large_counts(spark):
+    """Counts and sums whose products exceed a long."""
+    sizes = (4, 54_000, 60_000, 12_000_000, 6_000_000_000)
+    df = spark.createDataFrame([(n,) for n in sizes], "n bigint")
+    for n, skew, kurtosis in df.select("n", statistics.sample_skew_standard_error(F.col("n")), statistics.sample_kurtosis_standard_error(F.col("n"))).collect():
+        assert math.isclose(skew, math.sqrt(6 * n * (n - 1) / ((n - 2) * (n + 1) * (n + 3))), rel_tol=1e-14)
+        assert math.isclose(kurtosis, math.sqrt(24 * n * (n - 1) ** 2 / ((n - 3) * (n - 2) * (n + 3) * (n + 5))), rel_tol=1e-14)
+    cells = spark.createDataFrame([("a", "x", 6 * 10**9), ("a", "y", 2 * 10**9), ("b", "x", 2 * 10**9), ("b", "y", 6 * 10**9)], "r string, c string, n bigint")
+    assert statistics.chi_square(cells, "r", "c", "n").first().chi_square == 4e9
+    weighted = spark.createDataFrame([(60_000, 50_000), (70_000, 50_000)], "x int, w int")
+    assert math.isclose(weighted.agg(statistics.sample_weighted_variance("x", "w")).first()[0], 2 * 5000**2 * 50_000 / 99_999, rel_tol=1e-9)
+
+
+def test_stats_more_of_large_groups(spark, tmp_path):
+    """One group of 60,000 rows."""
+    n = 60_000
+    spark.range(n).selectExpr("id as l_orderkey", "1 as l_linenumber", "'A' as l_returnflag", "'F' as l_linestatus", "id % 50 + 1D as l_quantity", "1D as l_extendedprice").write.parquet(f"{tmp_path}/lineitem.parquet")
+    (row,) = function_queries.stats_more(spark, str(tmp_path)).collect()
+    assert row.kurtosis_error == round(math.sqrt(24 * n * (n - 1) ** 2 / ((n - 3) * (n - 2) * (n + 3) * (n + 5))), 6) and row.skew_error == round(math.sqrt(6 * n * (n - 1) / ((n - 2) * (n + 1) * (n + 3))), 6)
+    assert row.squares == n * (50**2 - 1) / 12 and row.upper_quartile == 38.0 and row.bins == n * (10 + 2 * 10 + 3 * 21) // 50
